@@ -158,4 +158,19 @@ def winnow(h: np.ndarray, w: int) -> np.ndarray:
         less = x <= best
         np.copyto(best, x, where=less)
         at[less] = j
-    return np.unique(at + np.arange(m))
+    at += np.arange(m)  # never falls from one window to the next
+    return at[np.concatenate(([True], at[1:] != at[:-1]))]
+
+
+def slices(batch, column: int, most: int = 4 << 20):
+    """Parts of an Arrow batch, as (first row, texts), of about ``most`` characters, one text at least."""
+    texts, first, size = [], 0, 0
+    for i, x in enumerate(batch.column(column)):
+        text = x.as_py() or ""
+        if texts and size + len(text) > most:
+            yield first, texts
+            texts, first, size = [], i, 0
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield first, texts
