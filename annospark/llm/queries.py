@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import decontaminate, packing, tokens
-from annospark.llm.common import documents, table
+from annospark.llm import decontaminate, langid, packing, quality, tokens
+from annospark.llm.common import crc32_rest, documents, table
 
 
 def _vocabulary(name: str) -> str:
@@ -22,10 +22,27 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "lang")
+    found = langid.identify(docs.select("doc_id", "text"), docs.where(crc32_rest("doc_id", 3) != 1))
+    return found.select("doc_id", F.coalesce(crc32_rest("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Field | quality.Constant:
+    """The quality model of the labelled documents that are not held out."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(crc32_rest("doc_id", 5) != 0)
+    return quality.learn(documents(spark, sf_dir).join(labels, "doc_id"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.score(documents(spark, sf_dir), quality_model(spark, sf_dir))
+    return scores.select("doc_id", F.coalesce(crc32_rest("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
