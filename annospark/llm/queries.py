@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import decontaminate, langid, packing, quality, tokens
+from annospark.llm import decontaminate, langid, packing, quality, tokens, warc
 from annospark.llm.common import crc32_rest, documents, table
 
 
@@ -43,6 +43,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(crc32_rest("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    records = warc.archive_pages(pages)
+    ids = records.where(F.col("record_type") == "response").select(F.col("record_id").alias("refers_to_id"), F.col("page").cast("long").alias("refers_to"))
+    again = records.where(F.col("refers_to_id").isNotNull()).join(ids, "refers_to_id").select("record_id", "refers_to")
+    return (
+        records.join(again, "record_id", "left")
+        .select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
