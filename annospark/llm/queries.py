@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import decontaminate, langid, packing, quality, tokens, warc
+from annospark.llm import decontaminate, fingerprint, langid, packing, quality, tokens, warc
 from annospark.llm.common import crc32_rest, documents, table
 
 
@@ -28,6 +28,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc32_rest("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_likeness(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
