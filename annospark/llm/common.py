@@ -139,12 +139,12 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
-def winnow(h: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the minimum (the rightmost of equals) of each window of w hashes, once each.
+def winnow_places(h: np.ndarray, w: int) -> np.ndarray:
+    """For each window of w hashes the place of its minimum, the rightmost of equals.
 
-    Equal windows choose the same relative position, so two texts that share
+    Equal windows choose the same relative place, so two texts that share
     w + k - 1 words (k the gram's length) share a chosen gram.  Fewer than w
-    hashes: the minimum of all of them.
+    hashes are one window.
     """
     n = len(h)
     if not n:
@@ -158,8 +158,13 @@ def winnow(h: np.ndarray, w: int) -> np.ndarray:
         less = x <= best
         np.copyto(best, x, where=less)
         at[less] = j
-    at += np.arange(m)  # never falls from one window to the next
-    return at[np.concatenate(([True], at[1:] != at[:-1]))]
+    return at + np.arange(m)
+
+
+def winnow(h: np.ndarray, w: int) -> np.ndarray:
+    """The places of :func:`winnow_places`, once each; they never fall from one window to the next."""
+    at = winnow_places(h, w)
+    return at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
 
 
 def slices(batch, column: int, most: int = 4 << 20):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import decontaminate, fingerprint, langid, neardup, packing, quality, tokens, warc
+from annospark.llm import decontaminate, fingerprint, langid, neardup, packing, quality, substring, tokens, warc
 from annospark.llm.common import crc32_rest, documents, table
 
 
@@ -58,6 +58,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.kept_words(documents(spark, sf_dir), window=13).drop("spans")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), similarity=(85, 100))
 

@@ -143,7 +143,7 @@ def frequent_pretokens(df: DataFrame, path: str, text_col: str = "text", k: int
             n = -(-n // FAN_IN)
             summaries = checkpoint(summaries.coalesce(n).mapInArrow(_merged(k), "blob string"))
     total = Counter()
-    for row in summaries.toLocalIterator():
+    for row in summaries.collect():  # FAN_IN summaries at most
         total.update(json.loads(row.blob))
         total = _top(total, 4 * k)
     return [u for u, _ in total.most_common(k)]
