@@ -11,14 +11,14 @@ from annospark.llm import decontaminate, fingerprint, langid, neardup, packing,
 from annospark.llm.common import crc32_rest, documents, table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokens.count_tokens(documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+    counts = tokens.count_tokens(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
@@ -33,7 +33,7 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Field | quality.Constant:
