@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import decontaminate, fingerprint, langid, neardup, packing, quality, substring, tokens, warc
+from annospark.llm import decontaminate, fingerprint, langid, lm, neardup, packing, quality, substring, tokens, warc
 from annospark.llm.common import crc32_rest, documents, table
 
 
@@ -22,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), held_out=(2, 7))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "lang")
     found = langid.identify(docs.select("doc_id", "text"), docs.where(crc32_rest("doc_id", 3) != 1))
