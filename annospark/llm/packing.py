@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ CACHE_SIZE = 600_000
 #: Unicode's White_Space, as the inside of a character class.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
+#: Fixed value: the byte-level pre-tokeniser's pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+_LATIN = re.compile("[\n -~À-ɏ]+")
 _RARE = re.compile("[\t\x0b\x0c\r\x85\xa0  -     　]")
 _BEFORE_SPACE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 
@@ -39,9 +44,13 @@ class ByteLevelIds:
     The pre-tokeniser never joins a character and white space after it, so
     texts may be cut there; each unit (white space, then the rest) is encoded
     by the library once and its ids kept as little-endian uint32 bytes.
+
+    ``ranks`` may name the same vocabulary as ranks: then ``tiktoken``, with
+    the same pattern and so the same ids, encodes units of ASCII and Latin
+    letters, on which the two libraries' Unicode tables cannot differ.
     """
 
-    def __init__(self, path: str, cache_size: int = CACHE_SIZE):
+    def __init__(self, path: str, ranks: str | None = None, cache_size: int = CACHE_SIZE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,6 +59,17 @@ class ByteLevelIds:
         self.cuts = '"type":"ByteLevel","add_prefix_space":false' in self.tk.to_str().replace(" ", "") and self.tk.normalizer is None
         self.cache: dict[str, bytes] = {}
         self.cache_size = cache_size
+        self.quick = None
+        if ranks and self.cuts:
+            import base64
+
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            own = {t: i for t, i in self.tk.get_vocab(with_added_tokens=False).items() if i < len(table)}
+            if len(own) == len(table):
+                self.quick = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,17 +92,23 @@ class ByteLevelIds:
         except KeyError:
             if len(self.cache) > self.cache_size:
                 self.cache.clear()
-            new = list({u for u in units if u not in self.cache})
-            self.cache.update(zip(new, self.whole(new)))
+            new = {u for u in units if u not in self.cache}
+            if self.quick:
+                for u in [u for u in new if _LATIN.fullmatch(u)]:
+                    self.cache[u] = array("I", self.quick(u)).tobytes()
+                    new.discard(u)
+            if new:
+                new = list(new)
+                self.cache.update(zip(new, self.whole(new)))
             return b"".join(map(self.cache.__getitem__, units))
 
 
 _encoders: dict[str, ByteLevelIds] = {}
 
 
-def _encoder(path: str) -> ByteLevelIds:
+def _encoder(path: str, ranks: str | None) -> ByteLevelIds:
     if path not in _encoders:
-        _encoders[path] = ByteLevelIds(path)
+        _encoders[path] = ByteLevelIds(path, ranks)
     return _encoders[path]
 
 
@@ -125,7 +151,7 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return bins
 
 
-def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, group_docs: int = GROUP_DOCS, seed: int = 17) -> DataFrame:
+def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, group_docs: int = GROUP_DOCS, seed: int = 17, ranks: str | None = None) -> DataFrame:
     """One row a piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     kind = src.schema[id_col].dataType.simpleString()
@@ -134,7 +160,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     width = 4 * capacity
 
     def pieces(batches):
-        enc, row = _encoder(path), 0
+        enc, row = _encoder(path, ranks), 0
         for b in batches:
             ids_of, of, start, length, crc, total, group = b.column(0), [], [], [], [], [], []
             for i, text in enumerate(b.column(1)):

@@ -37,7 +37,7 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0, ranks=vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Field | quality.Constant:

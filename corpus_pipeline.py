@@ -48,7 +48,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0, ranks=vocabulary("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [
