@@ -162,6 +162,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in_bucket = W.partitionBy("bucket")
     buckets = classes.select("node", F.explode("buckets").alias("bucket")).withColumn("rank", F.row_number().over(in_bucket.orderBy("node"))).withColumn("last", F.max("node").over(in_bucket)).withColumn("centre", F.min("node").over(in_bucket))
     buckets = checkpoint(buckets.where(F.col("centre") < F.col("last")).select("bucket", "node", "rank", "centre"))
+    free_shuffles(spark)
     signatures = classes.select("node", "sig")
     wanted = buckets.select(F.col("node").alias("id")).distinct()
 
@@ -193,6 +194,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if labels is None or not found.isEmpty():
             stars = labels.select(F.col("node").alias("u"), F.col("component").alias("v")) if labels is not None else links
             labels = checkpoint(components(stars.unionByName(found)))
+            stars = None
+        pairs = candidates = found = None
+        free_shuffles(spark)
     of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (
         features.join(of_class, "digest", "left")
