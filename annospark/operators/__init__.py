@@ -1,0 +1 @@
+"""DataFrame operators over annotation and segment tables."""

@@ -1,0 +1 @@
+"""Driver-side plans: models of an export, queries, the export itself."""
