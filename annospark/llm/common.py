@@ -42,6 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def tidy(df: DataFrame) -> SparkSession:
+    """The session, set so that an action's shuffle files go when it ends.
+
+    Operators of many steps write each step's result to the shared folder, so
+    no later step reads an earlier one's shuffle.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return spark
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/annospark-{what}-{uuid.uuid4().hex[:12]}"

@@ -31,7 +31,6 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import pickle
 import zlib
 
 import numpy as np
@@ -39,7 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annospark.llm.common import LOWER, free_shuffles, mix64, text_bytes, word_hashes, written
+from annospark.llm import exchange
+from annospark.llm.common import LOWER, free_shuffles, mix64, text_bytes, tidy, word_hashes, written
+from annospark.llm.exchange import expand, small, squeeze
 
 #: Discount and strength of the contexts' restaurants and of the parent's.
 CONTEXT, PARENT = (0.8, 4.0), (0.6, 20.0)
@@ -52,38 +53,6 @@ CHUNK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 END = b"\n"  # no word holds white space
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes() if len(x) else b""
-
-
-def squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes: sorted uint64 as differences, all by byte planes, compressed."""
-    import zstandard
-
-    out = []
-    for x in arrays:
-        rises = x.dtype == np.uint64 and len(x) > 1 and bool((x[1:] >= x[:-1]).all())
-        out.append((x.dtype.str, rises, _planes(np.diff(x, prepend=np.uint64(0)) if rises else x)))
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out))
-
-
-def expand(data: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    out = []
-    for kind, rises, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(data)):
-        size = np.dtype(kind).itemsize
-        x = np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel() if raw else np.empty(0, dtype=kind)
-        out.append(np.cumsum(x, dtype=np.uint64) if rises else x)
-    return out
-
-
-def small(x: np.ndarray) -> np.ndarray:
-    """Counts in the narrowest unsigned type that holds them."""
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
 # ---- chunks
 
 
@@ -148,31 +117,6 @@ class Chunk:
 MASK = np.uint64((1 << 48) - 1)
 
 
-# ---- exchanges
-
-_ASK = "p int, chunk long, blob binary"
-
-
-def _ranges(sorted_at: np.ndarray):
-    cuts = np.flatnonzero(np.diff(sorted_at)) + 1
-    for s, e in zip([0, *cuts], [*cuts, len(sorted_at)]):
-        if e > s:
-            yield int(sorted_at[s]), int(s), int(e)
-
-
-def _rows(rows: list[tuple], names: tuple[str, ...] = ("p", "chunk", "blob")):
-    kinds = {"p": pa.int32(), "chunk": pa.int64(), "blob": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, list(zip(*rows)) or [[]] * len(names))], list(names))
-
-
-def _answered(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
-    """Each chunk with its answers of each kind, in order of the ranges."""
-    for k, a in enumerate(answers):
-        own = a.where(F.col("chunk") >= 0).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("p", "blob"))).alias(f"a{k}"))
-        chunks = chunks.join(own, "chunk", "left")
-    return chunks
-
-
 def _each(batch):
     """Chunk id, chunk, and the answers of each kind, as lists of array lists, of each row."""
     for i in range(batch.num_rows):
@@ -183,18 +127,6 @@ def _joined(parts: list[list[np.ndarray]], k: int) -> np.ndarray:
     return np.concatenate([p[k].astype(np.int64) for p in parts]) if parts else np.empty(0, np.int64)
 
 
-def _reduce(rows: DataFrame, fn) -> DataFrame:
-    """fn(list of chunk ids, list of array lists) gives an answer for each chunk and, for chunk -1, a range's totals."""
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("chunk")
-        p = t.column("p")[0].as_py()
-        chunks = t.column("chunk").to_pylist()
-        return pa.Table.from_batches([_rows([(p, c, b) for c, b in fn(p, chunks, [expand(x) for x in t.column("blob").to_pylist()])])])
-
-    return rows.groupBy("p").applyInArrow(run, _ASK)
-
-
 # ---- words
 
 
@@ -204,7 +136,7 @@ def _ask_words(bits: int):
             for chunk, c in _each(b):
                 n = c.counts()
                 at = (c.words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(c.words), np.int64)
-                yield _rows([(p, chunk, squeeze(c.words[s:e], small(n[s:e]))) for p, s, e in _ranges(at)])
+                yield exchange.rows([(p, chunk, squeeze(c.words[s:e], small(n[s:e]))) for p, s, e in exchange.ranges(at)])
 
     return run
 
@@ -250,7 +182,7 @@ def sweep(customers: np.ndarray, tables: np.ndarray, restaurant: np.ndarray, oth
     new = np.minimum(customers, 1)
     few = np.flatnonzero((customers > 1) & (customers <= STIRLING))
     few = few[np.argsort(customers[few], kind="stable")]
-    for c, s, e in _ranges(customers[few]):
+    for c, s, e in exchange.ranges(customers[few]):
         for part in np.array_split(few[s:e], max(1, (e - s) * c // 2_000_000)):
             t = np.arange(1, c + 1)
             grow = np.log(strength + discount * (rest[part][:, None] + t[None, :] - 1))
@@ -280,11 +212,11 @@ def _ask_pairs(bits: int, n_tokens: int, n_words: int):
                 u, w, at, _, n = c.pairs(seen, bits)
                 base = quantised((seen + 1) / (n_tokens + n_words + 1))
                 rows = []
-                for p, s, e in _ranges(at):
+                for p, s, e in exchange.ranges(at):
                     first = np.flatnonzero(np.r_[True, u[s + 1 : e] != u[s : e - 1]])
                     contexts = c.words[u[s:e][first]]
                     rows.append((p, chunk, squeeze(contexts, small(np.diff(np.r_[first, e - s])), small(1 + seen[u[s:e][first]] // HOT), *_six(c.words[w[s:e]]), small(n[s:e]), base[w[s:e]])))
-                yield _rows(rows)
+                yield exchange.rows(rows)
 
     return run
 
@@ -359,7 +291,7 @@ def _ask_tables(bits: int):
                 _, w, _, values, _, owner = _pair_values(c, counts, pairs, bits)
                 t = np.stack([np.bincount(w[owner], weights=values[owner, 1 + j], minlength=len(c.words)).astype(np.int64) for j in range(SAMPLES)], 1)
                 at = (c.words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(c.words), np.int64)
-                yield _rows([(p, chunk, squeeze(c.words[s:e], *[small(t[s:e, j]) for j in range(SAMPLES)])) for p, s, e in _ranges(at)])
+                yield exchange.rows([(p, chunk, squeeze(c.words[s:e], *[small(t[s:e, j]) for j in range(SAMPLES)])) for p, s, e in exchange.ranges(at)])
 
     return run
 
@@ -405,26 +337,20 @@ def _scores(bits: int, n_tokens: int, n_words: int, sums: list[int]):
     return run
 
 
-def _totals(answers: DataFrame) -> np.ndarray:
-    """Sum of the ranges' totals: one short row a range."""
-    rows = answers.where(F.col("chunk") == -1).select("blob").collect()
-    return sum((expand(bytes(r.blob))[0] for r in rows), start=np.zeros(1, dtype=np.int64))
-
-
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (2, 7), seed: int = 7) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``; held out: crc32 of the id as text has that remainder."""
-    spark = df.sparkSession
+    spark = tidy(df)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     ranges = max(1, text_bytes(docs) // RANGE_BYTES)
     bits = max(2, int(ranges).bit_length())
     chunks, _ = written(docs.mapInArrow(_encode(*held_out), "chunk long, data binary"), "chunks")
-    words, _ = written(_reduce(chunks.mapInArrow(_ask_words(bits), _ASK), _word_counts), "words")
-    totals = _totals(words)
+    words, _ = written(exchange.reduce(chunks.mapInArrow(_ask_words(bits), exchange.ASK), _word_counts), "words")
+    totals = exchange.totals(words)
     n_tokens, n_words = (int(totals[0]), int(totals[1])) if len(totals) > 1 else (0, 0)
-    pairs, _ = written(_reduce(_answered(chunks, words).mapInArrow(_ask_pairs(bits, n_tokens, n_words), _ASK), _seat_pairs(seed)), "pairs")
+    pairs, _ = written(exchange.reduce(exchange.answered(chunks, words).mapInArrow(_ask_pairs(bits, n_tokens, n_words), exchange.ASK), _seat_pairs(seed)), "pairs")
     free_shuffles(spark)
-    tables, _ = written(_reduce(_answered(chunks, words, pairs).mapInArrow(_ask_tables(bits), _ASK), _seat_words(seed, n_words, 1 << bits)), "tables")
+    tables, _ = written(exchange.reduce(exchange.answered(chunks, words, pairs).mapInArrow(_ask_tables(bits), exchange.ASK), _seat_words(seed, n_words, 1 << bits)), "tables")
     free_shuffles(spark)
-    sums = [int(x) for x in _totals(tables)]
-    return _answered(chunks, words, pairs, tables).mapInArrow(_scores(bits, n_tokens, n_words, sums), schema).withColumnRenamed("id", id_col)
+    sums = [int(x) for x in exchange.totals(tables)]
+    return exchange.answered(chunks, words, pairs, tables).mapInArrow(_scores(bits, n_tokens, n_words, sums), schema).withColumnRenamed("id", id_col)

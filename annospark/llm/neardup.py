@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annospark.llm.common import LOWER, checkpoint, free_shuffles, gram_hashes, word_hashes, written
+from annospark.llm.common import LOWER, checkpoint, free_shuffles, gram_hashes, tidy, word_hashes, written
 from annospark.llm.components import components
 
 WORDS = 5
@@ -152,7 +152,7 @@ def _with_both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (85, 100), words: int = WORDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """``id_col, n_shingles, component_id, kept``: components of documents with numerator/denominator similarity or more."""
-    spark = df.sparkSession
+    spark = tidy(df)
     threshold = similarity[0] / similarity[1]
     bands = bands_for(threshold, rows, miss)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -2,16 +2,16 @@
 
 Seeds are winnowed grams of words: every run of ``window`` words holds one,
 chosen by its content alone, so runs that are equal share a seed at the same
-place.  Seeds are joined across documents; one that a single document has is
-dropped.  Around each remaining seed all runs of ``window`` words that chose it
-are extended to both sides and matched at once by the hash of their words
-(80 bits), rather than pair by pair, so a passage that a third of all
-documents have costs a row for each occurrence.  A run that also starts in a
+place.  Documents are joined on their seeds; a seed that a single document has
+is dropped.  Around each remaining seed all runs of ``window`` words that
+chose it are extended to both sides and matched at once by the hash of their
+words (80 bits), rather than pair by pair.  A run that also starts in a
 document with a smaller id is a repeat; touching and overlapping repeats of a
 document merge into its maximal repeats, all of ``window`` words or more.
 
-Minima are taken before each shuffle; the joins back are plain equi-joins that
-Spark splits where a key is hot.
+Both joins are exchanges of chunks with ranges of hashes (see
+:mod:`annospark.llm.exchange`): a passage that a third of all documents have
+comes once from each chunk, and the answer is a bit.
 
 Rows: a null text has no words; a null id takes no part and loses nothing;
 rows with one id are told apart by their texts and do not match each other (no
@@ -22,17 +22,22 @@ ignored.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annospark.llm.common import free_shuffles, gram_hashes, mix64, winnow, winnow_places, word_hashes, written
+from annospark.llm import exchange
+from annospark.llm.common import free_shuffles, gram_hashes, mix64, remove, text_bytes, tidy, winnow_places, word_hashes, written
+from annospark.llm.exchange import expand, squeeze
 
 WINDOW = 13
 #: Words of a seed.
 GRAM = 6
+#: Bytes of text in a chunk, and of all texts to a range of hashes.
+CHUNK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 WORD_RE = re.compile("[^\\x20\\x09-\\x0D]+")
 
 
@@ -40,71 +45,150 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def _seeds(window: int, gram: int):
-    def run(batches):
-        for b in batches:
-            ids, of, found, places = b.column(0), [], [], []
-            for i, x in enumerate(b.column(1)):
-                words = words_of(x.as_py() or "")
-                if len(words) >= window:
-                    g = gram_hashes(word_hashes(words), gram)
-                    at = winnow(g, window - gram + 1)
-                    of.append(np.full(len(at), i))
-                    found.append(g[at].view(np.int64))
-                    places.append((at | (_tag(x.as_py()) << 32)).astype(np.int64))
-            if of:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), ids.take(pa.array(np.concatenate(of))), pa.array(np.concatenate(places))], ["h", "id", "at"])
-
-    return run
-
-
 def _tag(text: str) -> int:
     """16 bits of the text, by which rows with one id are told apart."""
-    import zlib
-
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) & 0xFFFF
 
 
-def _windows(window: int, gram: int):
-    """Runs whose seed is among the document's shared ones: hash, id, and start, tag and more of the hash in one long."""
-
+def _encode(batches):
+    """Chunks of documents: ids, tags, words a document, and the words as numbers of the chunk's distinct hashes."""
+    from pyspark import TaskContext
+
+    base, n = TaskContext.get().partitionId() << 24, 0
+
+    def chunk():
+        words, stream = np.unique(np.concatenate(hashes), return_inverse=True)
+        data = squeeze(np.array(ids, np.int64), np.array(tags, np.uint16), np.array(list(map(len, hashes)), np.int64), stream.astype(np.uint32), words)
+        return exchange.rows([(base + n, data)], ("chunk", "blob"))
+
+    ids, tags, hashes, size = [], [], [], 0
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            text = t.as_py()
+            ids.append(i)
+            tags.append(_tag(text))
+            hashes.append(word_hashes(words_of(text)))
+            size += len(text) + 64
+            if size > CHUNK_BYTES:
+                yield chunk()
+                ids, tags, hashes, size, n = [], [], [], 0, n + 1
+    if ids:
+        yield chunk()
+
+
+class Chunk:
+    """Seeds and runs of a chunk; all documents' words stand in one array, and a run lies in one document."""
+
+    def __init__(self, data: bytes, window: int, gram: int, bits: int):
+        self.ids, self.tags, lens, stream, words = expand(data)
+        self.window, self.gram, self.bits = window, gram, bits
+        self.h = words[stream.astype(np.int64)]
+        ends = np.cumsum(lens)
+        self.begin, self.doc = ends - lens, np.repeat(np.arange(len(lens)), lens)
+        n = max(0, len(self.h) - window + 1)
+        self.starts = np.flatnonzero(np.arange(n) + window <= ends[self.doc[:n]])
+        self.grams = gram_hashes(self.h, gram)
+        chosen = winnow_places(self.grams, window - gram + 1)[self.starts]
+        at = np.unique(chosen)
+        self.seed_of = np.searchsorted(at, chosen)  # each run's seed
+        self.seeds, self.number = np.unique(self.grams[at], return_inverse=True)
+        low, high = np.full(len(self.seeds), len(lens)), np.full(len(self.seeds), -1)
+        np.minimum.at(low, self.number, self.doc[at])
+        np.maximum.at(high, self.number, self.doc[at])
+        self.many = high > low
+
+    def range_of(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ask_seeds(self):
+        for p, s, e in exchange.ranges(self.range_of(self.seeds)):
+            yield p, squeeze(self.seeds[s:e], self.many[s:e])
+
+    def extend(self, shared: np.ndarray) -> None:
+        """Runs around shared seeds, by the hash of their words, and each distinct run's smallest id here."""
+        on = shared[self.number][self.seed_of]
+        self.starts = self.starts[on]
+        w = gram_hashes(self.h, self.window)[self.starts]
+        more = mix64(self.grams[self.starts] ^ (self.grams[self.starts + self.window - self.gram] >> np.uint64(7))) >> np.uint64(48)
+        order = np.lexsort((more, w))
+        w, more = w[order], more[order]
+        fresh = np.ones(len(w), dtype=bool)
+        fresh[1:] = (w[1:] != w[:-1]) | (more[1:] != more[:-1])
+        self.run = np.empty(len(w), dtype=np.int64)
+        self.run[order] = np.cumsum(fresh) - 1
+        self.runs, self.more = w[fresh], more[fresh].astype(np.uint16)
+        self.owner = self.ids[self.doc[self.starts]]
+        self.low = np.full(len(self.runs), np.iinfo(np.int64).max)
+        np.minimum.at(self.low, self.run, self.owner)
+
+    def ask_runs(self):
+        for p, s, e in exchange.ranges(self.range_of(self.runs)):
+            yield p, squeeze(self.runs[s:e], self.more[s:e], self.low[s:e])
+
+    def repeats(self, smaller: np.ndarray):
+        """(id, places) of documents with repeated runs."""
+        hit = np.flatnonzero(smaller[self.run] | (self.owner > self.low[self.run]))
+        doc = self.doc[self.starts[hit]]
+        for d, s, e in exchange.ranges(doc):
+            yield int(self.ids[d]), ((self.starts[hit[s:e]] - self.begin[d]) | (int(self.tags[d]) << 32)).tolist()
+
+
+def _shared_seeds(p, chunks, parts):
+    seeds, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    n = np.bincount(at, weights=1.0 + np.concatenate([m for _, m in parts]), minlength=len(seeds))
+    for c, i in zip(chunks, np.split(at, np.cumsum([len(k) for k, _ in parts])[:-1])):
+        yield c, squeeze(np.array([len(i)], np.int64), np.packbits(n[i] > 1))
+
+
+def _smaller_runs(p, chunks, parts):
+    w, more, low = (np.concatenate([x[k] for x in parts]) for k in range(3))
+    order = np.lexsort((more, w))
+    fresh = np.ones(len(w), dtype=bool)
+    fresh[1:] = (w[order][1:] != w[order][:-1]) | (more[order][1:] != more[order][:-1])
+    run = np.empty(len(w), dtype=np.int64)
+    run[order] = np.cumsum(fresh) - 1
+    first = np.minimum.reduceat(low[order], np.flatnonzero(fresh))
+    smaller = first[run] < low
+    for c, i in zip(chunks, np.split(smaller, np.cumsum([len(x[0]) for x in parts])[:-1])):
+        yield c, squeeze(np.array([len(i)], np.int64), np.packbits(i))
+
+
+def _bits(answers) -> np.ndarray:
+    parts = [np.unpackbits(a, count=int(n[0])).astype(bool) for n, a in (expand(x["blob"]) for x in answers or [])]
+    return np.concatenate(parts) if parts else np.empty(0, dtype=bool)
+
+
+def _asking(window: int, gram: int, bits: int, step: str):
     def run(batches):
         for b in batches:
-            ids, of, found, rest = b.column(0), [], [], []
-            for i, (x, at) in enumerate(zip(b.column(1), b.column(2))):
-                text = x.as_py()
-                tag = _tag(text)
-                at = np.array(at.as_py(), dtype=np.int64)
-                at = at[(at >> 32) == tag] & 0xFFFFFFFF
-                h = word_hashes(words_of(text))
-                chosen = winnow_places(gram_hashes(h, gram), window - gram + 1)
-                starts = np.flatnonzero(np.isin(chosen, at))
-                if len(starts):
-                    w = gram_hashes(h, window)[starts]
-                    w2 = mix64(gram_hashes(h, gram)[starts] ^ (gram_hashes(h, gram)[starts + window - gram] >> np.uint64(7)))
-                    of.append(np.full(len(starts), i))
-                    found.append(w.view(np.int64))
-                    rest.append((starts.astype(np.uint64) | np.uint64(tag << 32) | ((w2 >> np.uint64(48)) << np.uint64(48))).view(np.int64))
-            if of:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), ids.take(pa.array(np.concatenate(of))), pa.array(np.concatenate(rest))], ["w", "id", "at"])
+            for i in range(b.num_rows):
+                c = Chunk(b.column(1)[i].as_py(), window, gram, bits)
+                if step != "seeds":
+                    c.extend(_bits(b.column(2)[i].as_py()))
+                if step == "repeats":
+                    found = list(c.repeats(_bits(b.column(3)[i].as_py())))
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["id", "starts"])
+                else:
+                    name = b.column(0)[i].as_py()
+                    yield exchange.rows([(p, name, blob) for p, blob in (c.ask_seeds() if step == "seeds" else c.ask_runs())])
 
     return run
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``id, starts``: for each document with repeats the places (start | tag << 32) of its repeated runs."""
-    spark = df.sparkSession
+    spark = tidy(df)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    seeds = docs.mapInArrow(_seeds(window, gram), "h long, id long, at long")
-    shared = seeds.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") < F.col("high")).select("h")
-    by_doc, _ = written(seeds.join(shared, "h").groupBy("id").agg(F.collect_list("at").alias("at")), "seeds")
+    bits = max(2, int(text_bytes(docs) // RANGE_BYTES).bit_length())
+    chunks, at = written(docs.mapInArrow(_encode, "chunk long, blob binary"), "chunks")
+    seeds, at_seeds = written(exchange.reduce(chunks.mapInArrow(_asking(window, gram, bits, "seeds"), exchange.ASK), _shared_seeds), "seeds")
+    free_shuffles(spark)
+    runs, at_runs = written(exchange.reduce(exchange.answered(chunks, seeds).mapInArrow(_asking(window, gram, bits, "runs"), exchange.ASK), _smaller_runs), "runs")
     free_shuffles(spark)
-    windows = docs.join(by_doc, "id").mapInArrow(_windows(window, gram), "w long, id long, at long").withColumn("w2", F.shiftrightunsigned("at", 48))
-    first = windows.groupBy("w", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") < F.col("high")).drop("high")
-    again = windows.join(first, ["w", "w2"]).where(F.col("id") > F.col("low"))
-    out, _ = written(again.groupBy("id").agg(F.collect_list(F.col("at").bitwiseAND((1 << 48) - 1)).alias("starts")), "repeats")
+    found, _ = written(exchange.answered(chunks, seeds, runs).mapInArrow(_asking(window, gram, bits, "repeats"), "id long, starts array<bigint>").groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts")), "repeats")
     free_shuffles(spark)
-    return out
+    remove(spark, at, at_seeds, at_runs)
+    return found
 
 
 def covered(text: str, starts: list[int] | None, n: int, window: int) -> np.ndarray:
