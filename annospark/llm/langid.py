@@ -87,7 +87,7 @@ class Model:
     def __init__(self, x: np.ndarray, langs: list[str]):
         self.langs = sorted(set(langs))
         of = np.array(langs)
-        scale = 1 / np.sqrt(x.mean(0) + 1e-5)
+        scale = 1 / np.sqrt((x.mean(0) if len(x) else np.zeros(DIM)) + 1e-5)
         x = x * scale
         fam = np.array([family(a) for a in langs])
         #: decisions: (name a, name b, is a family's) and a column of weights each

@@ -208,8 +208,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return train(sample, counts.get(1, 0) / sum(counts.values()))
 
 
-def score(df: DataFrame, model: Field | Constant, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col, score`` of each row, with the columns named in ``keep``."""
+def score(df: DataFrame, model: Field | Constant, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out_col: str = "score") -> DataFrame:
+    """``id_col``, the columns named in ``keep``, and the score, in ``out_col``."""
     m = df.sparkSession.sparkContext.broadcast(model)
     src = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name != "_text") + ", score double"
@@ -220,4 +220,4 @@ def score(df: DataFrame, model: Field | Constant, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([*[b.column(i).slice(first, len(texts)) for i in range(b.num_columns) if i != 1], pa.array(m.value.score(texts), pa.float64())], [*[n for n in b.schema.names if n != "_text"], "score"])
 
     out = src.mapInArrow(run, schema)
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "score")
+    return out.select(F.col("_id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(out_col))

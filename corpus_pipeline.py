@@ -26,8 +26,8 @@ QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.score(docs, quality_model(spark, sf_dir), keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.where(F.col("score") >= QUALITY).select(*docs.columns)
+    scored = quality.score(docs, quality_model(spark, sf_dir), keep=tuple(c for c in docs.columns if c != "doc_id"), out_col="__quality")
+    return scored.where(F.col("__quality") >= QUALITY).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
