@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import decontaminate, fingerprint, langid, lm, neardup, packing, quality, substring, tokens, warc
+from annospark.llm import decontaminate, fingerprint, langid, lm, neardup, oracle, packing, quality, substring, tokens, warc
 from annospark.llm.common import crc32_rest, documents, table
 
 
@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)

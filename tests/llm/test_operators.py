@@ -291,3 +291,10 @@ def test_op3_op6_edge(spark, edge):
     assert all(r.lang_pred in ("und", "en", "fr") for r in got)
     assert {r.lang_pred for r in got if r.doc_id in (3, 4, 5, 12)} == {"und"}
     assert all(0 <= r.score <= 1 for r in run(spark, "op6", edge).collect())
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, data, name):
+    import compare
+
+    assert compare.same(Q[name](spark, data), data, queries.oracle_sql()[name]) == ""
