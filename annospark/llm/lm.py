@@ -22,7 +22,7 @@ back in the same order:
    has it), the parent's customers and tables;
 4. scores of the chunk's documents.
 
-Words and pairs are known by 64-bit hashes (in a pair, 48 bits of the second).
+Words and pairs are known by 64-bit hashes (in a pair, 40 bits of the second).
 
 Rows: a null text is empty: the end alone; a null id is not learned from, nor
 held out; repeated ids are scored each by its text; an empty table gives an
@@ -114,7 +114,8 @@ class Chunk:
         return u[order], w[order], at[order], place[of], np.bincount(place[of][self.learned], minlength=len(key))
 
 
-MASK = np.uint64((1 << 48) - 1)
+#: Bits of a second word's hash; a context's pairs meet in parts of at most about HOT, so 40 tell them apart.
+MASK = np.uint64((1 << 40) - 1)
 
 
 def _each(batch):
@@ -215,7 +216,7 @@ def _ask_pairs(bits: int, n_tokens: int, n_words: int):
                 for p, s, e in exchange.ranges(at):
                     first = np.flatnonzero(np.r_[True, u[s + 1 : e] != u[s : e - 1]])
                     contexts = c.words[u[s:e][first]]
-                    rows.append((p, chunk, squeeze(contexts, small(np.diff(np.r_[first, e - s])), small(1 + seen[u[s:e][first]] // HOT), *_six(c.words[w[s:e]]), small(n[s:e]), base[w[s:e]])))
+                    rows.append((p, chunk, squeeze(contexts, small(np.diff(np.r_[first, e - s])), small(1 + seen[u[s:e][first]] // HOT), *_five(c.words[w[s:e]]), small(n[s:e]), base[w[s:e]])))
                 yield exchange.rows(rows)
 
     return run
@@ -226,9 +227,9 @@ def quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.round(-np.log(p) * 8), 0, 255).astype(np.uint8)
 
 
-def _six(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """48 bits as 32 and 16."""
-    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((x >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
+def _five(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """40 bits as 32 and 8."""
+    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((x >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
 
 
 def _seat_pairs(seed: int):
