@@ -10,9 +10,6 @@ from annospark.functions.bits import MASK32, Stages, mul32, rotl32
 # Fixed values of the viewer's colour hash.
 K1, K2, STEP = 0xCC9E2D51, 0x1B873593, 0xE6546B64
 
-#: The same colour in a segmentation layer's shader: one call a segment.
-SHADER_NOTE = "vec3 segmentColor() of the viewer uses the same hash; seed 0 is its default"
-
 
 def _combine(s: Stages, state: Column, value: Column) -> Column:
     v = s.let(mul32(s.let(value.bitwiseAND(F.lit(MASK32))), K1))
