@@ -2,11 +2,12 @@
 
 Documents with one shingle set are one class, whose smallest id stands for
 it; all that follows is between classes.  Signatures are cut into bands; in
-each bucket of a band classes are compared with centres, one at first, then
-twice as many each round, and only where bucket-mates are still in different
-components, until no bucket has an untried pair across components.  So a
-bucket of thousands of copies costs about one comparison a copy, no bucket's
-pairs are spelled out, and none is left out.
+each bucket of a band classes are first compared with one centre, which links
+most copies at one comparison each.  Buckets whose classes are then still in
+different components are compared in full, but only across components and
+inside tasks: blocks of at most ``BLOCK`` signatures against each other, of
+which only pairs that pass the bounds become rows.  So no bucket's pairs are
+spelled out, and none is left out.
 
 A candidate's signatures are compared in batches.  After each batch the
 posterior probability that the similarity reaches the threshold (uniform
@@ -41,6 +42,8 @@ ROWS = 7
 MISS = 1e-6
 #: Signature values that are compared at once.
 BATCH = 32
+#: Classes of a bucket that one task compares with as many others.
+BLOCK = 2048
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -130,6 +133,41 @@ def _bayes(steps: list[tuple[int, int]]):
     return run
 
 
+def _across(steps: list[tuple[int, int]]):
+    """Candidates of one block of a bucket against another (or itself): pairs in different components that pass the bounds."""
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        at = t.column("block").to_numpy()
+        node, c = t.column("node").to_numpy(), t.column("c").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        n, least = steps[0]
+        a, b = [], []
+        for k in range(0, len(left), 64):
+            x = left[k : k + 64]
+            ok = (sig[x][:, None, :n] == sig[right][None, :, :n]).sum(2) >= least
+            ok &= c[x][:, None] != c[right][None, :]
+            if i == j:
+                ok &= node[x][:, None] < node[right][None, :]
+            p, q = np.nonzero(ok)
+            p, q = x[p], right[q]
+            matches, done = (sig[p, :n] == sig[q, :n]).sum(1), n
+            for m, least_m in steps[1:]:
+                matches = matches + (sig[p, done:m] == sig[q, done:m]).sum(1)
+                stay = matches >= least_m
+                p, q, matches, done = p[stay], q[stay], matches[stay], m
+            a.append(node[p])
+            b.append(node[q])
+        return pa.table({"a": pa.array(np.concatenate(a) if a else np.empty(0, np.int64), pa.int64()), "b": pa.array(np.concatenate(b) if b else np.empty(0, np.int64), pa.int64())})
+
+    return run
+
+
+def _verified(candidates: DataFrame, full: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    return checkpoint(_with_both(candidates, full, "set").mapInArrow(_exact(*similarity), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def _exact(numerator: int, denominator: int):
     def run(batches):
         for b in batches:
@@ -173,30 +211,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full, _ = written(docs.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(sets, "node long, set binary"), "sets")
     free_shuffles(spark)
     steps = least_matches(threshold, bands * rows, miss)
-    links = spark.createDataFrame([], "u long, v long")
-    labels = None
-    first, tried = True, 1
-    while True:
-        if first:
-            pairs = buckets.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-        else:
-            known = buckets.join(labels.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", "rank", F.coalesce("c", "node").alias("c"))
-            open_ = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("rank").alias("size")).where((F.col("low") < F.col("high")) & (F.col("size") > tried))
-            known = checkpoint(known.join(open_.select("bucket"), "bucket", "left_semi"))
-            if known.isEmpty():
-                break
-            centres = known.where((F.col("rank") > tried) & (F.col("rank") <= 2 * tried + 1)).select("bucket", F.col("node").alias("a"), F.col("rank").alias("r"), F.col("c").alias("ca"))
-            pairs = known.join(centres, "bucket").where((F.col("rank") > F.col("r")) & (F.col("c") != F.col("ca"))).select("a", F.col("node").alias("b"))
-            tried = 2 * tried + 1
-        first = False
-        candidates = _with_both(pairs.distinct(), signatures, "sig").mapInArrow(_bayes(steps), "a long, b long")
-        found = checkpoint(_with_both(candidates, full, "set").mapInArrow(_exact(*similarity), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if labels is None or not found.isEmpty():
-            stars = labels.select(F.col("node").alias("u"), F.col("component").alias("v")) if labels is not None else links
-            labels = checkpoint(components(stars.unionByName(found)))
-            stars = None
-        pairs = candidates = found = None
-        free_shuffles(spark)
+    centres = buckets.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    candidates = _with_both(centres, signatures, "sig").mapInArrow(_bayes(steps), "a long, b long")
+    found = _verified(candidates, full, similarity)
+    labels = checkpoint(components(found))
+    free_shuffles(spark)
+    known = buckets.join(labels.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", "rank", F.coalesce("c", "node").alias("c"))
+    open_ = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("rank").alias("size")).where(F.col("low") < F.col("high"))
+    live = known.join(open_.select("bucket", "size"), "bucket").join(signatures, "node")
+    block = F.floor((F.col("rank") - 1) / BLOCK)
+    live = live.select("bucket", "node", "c", "sig", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK))).alias("other"))
+    live = live.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "c", "sig")
+    rest = live.groupBy("bucket", "i", "j").applyInArrow(_across(steps), "a long, b long").distinct()
+    more = _verified(rest, full, similarity)
+    if not more.isEmpty():
+        labels = checkpoint(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)))
+    free_shuffles(spark)
     of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (
         features.join(of_class, "digest", "left")
