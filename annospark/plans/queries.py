@@ -369,7 +369,9 @@ def rel_group_counts(spark, d):
 @query(f"WITH {_VER} SELECT annotation_id, count(*) AS vertices FROM ver WHERE annotation_id % 3 = 0 GROUP BY 1")
 def polyline_orphans(spark, d):
     """Vertices whose polyline is not in the main table are dropped, and polylines without vertices."""
-    main = spark.range(0, 1_000_000, 3).withColumnRenamed("id", "annotation_id")
+    users = _t(spark, d, "events").select("user_id").distinct()
+    ids = users.select(F.explode(F.sequence(F.col("user_id") * 8, F.col("user_id") * 8 + 7)).alias("annotation_id"))
+    main = ids.where(F.col("annotation_id") % 3 == 0)
     return with_vertices(main, vertices(spark, d), XY).select("annotation_id", F.size("vertices").cast("long").alias("vertices"))
 
 
