@@ -4,9 +4,12 @@ Each context (the word before; a document's first word has the end before it)
 is a Chinese restaurant whose customers are the training tokens that follow
 it; the tables of all of them are the customers of one parent restaurant, and
 its base is uniform over the vocabulary and one unknown word.  Gibbs sweeps
-draw each dish's number of tables from its full conditional given its
-restaurant's other tables (generalised Stirling numbers; dishes with more
-than ``STIRLING`` customers are seated one after another in growing blocks).
+draw each dish's number of tables given its restaurant's other tables
+(generalised Stirling numbers; customers of dishes with more than ``STIRLING``
+are seated one after another in growing blocks).  Approximations: all dishes
+are redrawn at once from the last sweep's totals, and the tables in other
+ranges, of the parent and of contexts from ``HOT`` customers on, are taken to be
+as many a range as in this one.  Scoring uses counted totals.
 Predictive probabilities are averaged over the samples kept after burn-in.
 
 No table of words or pairs is ever broadcast or collected.  The corpus is
