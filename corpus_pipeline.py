@@ -5,7 +5,7 @@
    of documents with a similarity of 0.8 or more stays.
 3. substring_dedup: words that a repeat of 13 words or more covers are cut out
    of all documents but the one with the smallest id; a document that loses
-   every word goes.
+   every word goes.  One that had none (also a null text) stays as it is.
 4. decontaminate: documents with a run of 10 words of a benchmark item go.
 5. pack: what is left is packed into sequences of 1024 tokens.
 
@@ -36,9 +36,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    n = F.length("text")
-    left = substring.without_repeats(docs, window=13).withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
-    return left.where(F.col("text").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
+    has_word = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    left = substring.without_repeats(docs.withColumn("__had_word", has_word), window=13)
+    n = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return left.where(has_word | ~F.col("__had_word")).withColumn("n_chars", n).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

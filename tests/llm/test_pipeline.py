@@ -62,3 +62,14 @@ def test_edge(spark, edge):
         assert out.columns == docs.columns and out.count() <= len(EDGE)
         assert stage(spark, docs.limit(0), edge).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, edge).select("doc_id").distinct().count() == len({i for i, _ in EDGE})
+
+
+def test_only_documents_that_lose_every_word_go(spark):
+    copy = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, copy), (2, copy), (3, None), (4, ""), (5, " \t\n\x0b\x0c\r "), (6, "one"), (7, "other " + copy), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.substring_stage(spark, docs, "")
+    key = lambda rows: sorted(map(repr, rows))
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text, r.n_chars) for r in out.collect()]
+    assert key(got) == key([(i, t, len(t or "")) for i, t in rows if i not in (2, 7)] + [(7, "other ", 6)])
