@@ -26,7 +26,7 @@ def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a temporary folder is taken.
+    Only in local mode, where the session names none, a temporary folder is taken.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -37,40 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     at = tempfile.mkdtemp(prefix="annospark-")
     sc.setCheckpointDir(at)
     return at
 
 
-def tidy(df: DataFrame) -> SparkSession:
-    """The session, set so that an action's shuffle files go when it ends.
-
-    Operators of many steps write each step's result to the shared folder, so
-    no later step reads an earlier one's shuffle.
-    """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    return spark
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/annospark-{what}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder: survives lost executors and cuts the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """Like :func:`checkpoint` but as compressed Parquet; returns the table and its path."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete tables that no later step reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -79,12 +57,47 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
-    import gc
+class Steps:
+    """Tables that an operator of many steps writes on its way, as compressed Parquet in the shared folder.
+
+    A written table survives lost executors and cuts the lineage, so no step
+    reads an earlier one's shuffle: within ``with``, an action's shuffle files
+    go when it ends.  At the end the settings are as before and the tables are
+    gone, but for those of :meth:`keep`, which the operator's result reads.
+    """
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+    def __init__(self, df: DataFrame, settings: dict[str, str] | None = None):
+        self.spark, self.settings, self.tables = df.sparkSession, self.SETTINGS | (settings or {}), []
+
+    def __enter__(self) -> Steps:
+        self.before = {k: self.spark.conf.get(k, None) for k in self.settings}
+        for k, v in self.settings.items():
+            self.spark.conf.set(k, v)
+        return self
+
+    def __exit__(self, *_) -> None:
+        for k, v in self.before.items():
+            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        remove(self.spark, *[path for _, path in self.tables])
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        path = fresh_path(self.spark, what)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def write(self, df: DataFrame, what: str) -> DataFrame:
+        path = fresh_path(self.spark, what)
+        self.tables.append((None, path))
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[-1] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Tables that no later step reads."""
+        remove(self.spark, *[path for f, path in self.tables if any(f is x for x in frames)])
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:

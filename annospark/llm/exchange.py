@@ -50,6 +50,8 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+#: Arrow batches end at this size, so a chunk with its answers is one of its own and a task holds one.
+ONE_A_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
 ASK = "p int, chunk long, blob binary"
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annospark.llm import exchange
-from annospark.llm.common import LOWER, free_shuffles, mix64, text_bytes, tidy, word_hashes, written
+from annospark.llm.common import LOWER, Steps, mix64, text_bytes, word_hashes
 from annospark.llm.exchange import expand, small, squeeze
 
 #: Discount and strength of the contexts' restaurants and of the parent's.
@@ -343,18 +343,17 @@ def _scores(bits: int, n_tokens: int, n_words: int, sums: list[int]):
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (2, 7), seed: int = 7) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``; held out: crc32 of the id as text has that remainder."""
-    spark = tidy(df)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     ranges = max(1, text_bytes(docs) // RANGE_BYTES)
     bits = max(2, int(ranges).bit_length())
-    chunks, _ = written(docs.mapInArrow(_encode(*held_out), "chunk long, data binary"), "chunks")
-    words, _ = written(exchange.reduce(chunks.mapInArrow(_ask_words(bits), exchange.ASK), _word_counts), "words")
-    totals = exchange.totals(words)
-    n_tokens, n_words = (int(totals[0]), int(totals[1])) if len(totals) > 1 else (0, 0)
-    pairs, _ = written(exchange.reduce(exchange.answered(chunks, words).mapInArrow(_ask_pairs(bits, n_tokens, n_words), exchange.ASK), _seat_pairs(seed)), "pairs")
-    free_shuffles(spark)
-    tables, _ = written(exchange.reduce(exchange.answered(chunks, words, pairs).mapInArrow(_ask_tables(bits), exchange.ASK), _seat_words(seed, n_words, 1 << bits)), "tables")
-    free_shuffles(spark)
-    sums = [int(x) for x in exchange.totals(tables)]
-    return exchange.answered(chunks, words, pairs, tables).mapInArrow(_scores(bits, n_tokens, n_words, sums), schema).withColumnRenamed("id", id_col)
+    with Steps(df, exchange.ONE_A_BATCH) as steps:
+        chunks = steps.write(docs.mapInArrow(_encode(*held_out), "chunk long, data binary"), "chunks")
+        words = steps.write(exchange.reduce(chunks.mapInArrow(_ask_words(bits), exchange.ASK), _word_counts), "words")
+        totals = exchange.totals(words)
+        n_tokens, n_words = (int(totals[0]), int(totals[1])) if len(totals) > 1 else (0, 0)
+        pairs = steps.write(exchange.reduce(exchange.answered(chunks, words).mapInArrow(_ask_pairs(bits, n_tokens, n_words), exchange.ASK), _seat_pairs(seed)), "pairs")
+        tables = steps.write(exchange.reduce(exchange.answered(chunks, words, pairs).mapInArrow(_ask_tables(bits), exchange.ASK), _seat_words(seed, n_words, 1 << bits)), "tables")
+        sums = [int(x) for x in exchange.totals(tables)]
+        scores = exchange.answered(chunks, words, pairs, tables).mapInArrow(_scores(bits, n_tokens, n_words, sums), schema)
+        return steps.keep(scores, "scores").withColumnRenamed("id", id_col)

@@ -1,13 +1,15 @@
 """Near-duplicate documents by MinHash with sequential Bayesian verification.
 
-Documents with one shingle set are one class, whose smallest id stands for
-it; all that follows is between classes.  Signatures are cut into bands; in
-each bucket of a band classes are first compared with one centre, which links
-most copies at one comparison each.  Buckets whose classes are then still in
-different components are compared in full, but only across components and
-inside tasks: blocks of at most ``BLOCK`` signatures against each other, of
-which only pairs that pass the bounds become rows.  So no bucket's pairs are
-spelled out, and none is left out.
+Documents with one shingle set are one class; all that follows is between
+classes.  Signatures are cut into bands; in each bucket of a band classes are
+first compared with one centre, which links most copies at one comparison
+each.  Buckets whose classes are then still in different components are
+compared in full, but only across components and inside tasks: blocks of at
+most about ``BLOCK`` classes (``BLOCK_BYTES`` of sets) against each other.  A
+task first says which classes have a partner that passes the bounds; those
+get their full sets, and a task verifies and unites them, so that a pair of
+blocks gives a spanning forest of its links: fewer rows than it has classes.
+No bucket's pairs are spelled out, and none is left out.
 
 A candidate's signatures are compared in batches.  After each batch the
 posterior probability that the similarity reaches the threshold (uniform
@@ -18,8 +20,8 @@ threshold shares no bucket below ``miss`` as well.
 Rows: documents without words have an empty set, are linked with nothing and
 are their own component; a null id takes part in nothing, is its own
 component (null) and is kept; repeated ids: rows are linked by their texts,
-each with its own result; an empty table gives an empty result; other columns
-are ignored.
+each with its own result, so repeated rows of one id and text stay together;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +31,9 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annospark.llm.common import LOWER, checkpoint, free_shuffles, gram_hashes, tidy, word_hashes, written
+from annospark.llm.common import LOWER, Steps, gram_hashes, word_hashes
 from annospark.llm.components import components
 
 WORDS = 5
@@ -42,8 +43,8 @@ ROWS = 7
 MISS = 1e-6
 #: Signature values that are compared at once.
 BATCH = 32
-#: Classes of a bucket that one task compares with as many others.
-BLOCK = 2048
+#: Classes of a bucket that one task compares with as many others, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -95,7 +96,7 @@ def least_matches(threshold: float, size: int, miss: float = MISS, batch: int =
 
 
 def shingle_features(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
-    """id, n, digest of the set, one byte of each signature value, and the bands' buckets."""
+    """id, h, n, digest of the set, one byte of each signature value, and the bands' buckets."""
 
     def run(batches):
         import xxhash
@@ -103,7 +104,7 @@ def shingle_features(docs: DataFrame, bands: int, rows: int, words: int) -> Data
         s = Signatures(bands, rows)
         for b in batches:
             n, digest, sig, buckets = [], [], [], []
-            for x in b.column(1):
+            for x in b.column("text"):
                 h = shingle_set(x.as_py() or "", words)
                 n.append(len(h))
                 if len(h):
@@ -113,9 +114,9 @@ def shingle_features(docs: DataFrame, bands: int, rows: int, words: int) -> Data
                     buckets.append(s.buckets(values).tolist())
                 else:
                     digest.append(None), sig.append(None), buckets.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["id", "n", "digest", "sig", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["id", "h", "n", "digest", "sig", "buckets"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, sig binary, buckets array<bigint>")
+    return docs.mapInArrow(run, "id long, h long, n long, digest binary, sig binary, buckets array<bigint>")
 
 
 def _bayes(steps: list[tuple[int, int]]):
@@ -133,50 +134,102 @@ def _bayes(steps: list[tuple[int, int]]):
     return run
 
 
-def _across(steps: list[tuple[int, int]]):
-    """Candidates of one block of a bucket against another (or itself): pairs in different components that pass the bounds."""
-
-    def run(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        at = t.column("block").to_numpy()
-        node, c = t.column("node").to_numpy(), t.column("c").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
-        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-        n, least = steps[0]
-        a, b = [], []
-        for k in range(0, len(left), 64):
-            x = left[k : k + 64]
-            ok = (sig[x][:, None, :n] == sig[right][None, :, :n]).sum(2) >= least
-            ok &= c[x][:, None] != c[right][None, :]
-            if i == j:
-                ok &= node[x][:, None] < node[right][None, :]
-            p, q = np.nonzero(ok)
-            p, q = x[p], right[q]
-            matches, done = (sig[p, :n] == sig[q, :n]).sum(1), n
-            for m, least_m in steps[1:]:
-                matches = matches + (sig[p, done:m] == sig[q, done:m]).sum(1)
-                stay = matches >= least_m
-                p, q, matches, done = p[stay], q[stay], matches[stay], m
-            a.append(node[p])
-            b.append(node[q])
-        return pa.table({"a": pa.array(np.concatenate(a) if a else np.empty(0, np.int64), pa.int64()), "b": pa.array(np.concatenate(b) if b else np.empty(0, np.int64), pa.int64())})
+def groups(batches, keys: int):
+    """Tables of successive rows with equal first ``keys`` columns; one group is held beyond a batch."""
+    held, at = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [c.to_numpy() for c in b.columns[:keys]]
+        edges = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1).tolist(), b.num_rows]
+        for s, e in zip(edges, edges[1:]):
+            key = tuple(c[s] for c in columns)
+            if held and key != at:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(b.slice(s, e - s))
+            at = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def candidates_across(t: pa.Table, bounds: list[tuple[int, int]]):
+    """Rows of a pair of blocks, and its candidates as two arrays of places: in different components and within the bounds; best first."""
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    at, node, c = (t.column(x).to_numpy() for x in ("block", "node", "c"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+    left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+    n, least = bounds[0]
+    found = []
+    for k in range(0, len(left), 64):
+        x = left[k : k + 64]
+        ok = c[x][:, None] != c[right][None, :]
+        if i == j:
+            ok &= x[:, None] < right[None, :]
+        p, q = np.nonzero(ok & ((sig[x][:, None, :n] == sig[right][None, :, :n]).sum(2) >= least))
+        p, q = x[p], right[q]
+        matches, done = (sig[p, :n] == sig[q, :n]).sum(1), n
+        for m, least_m in bounds[1:]:
+            matches = matches + (sig[p, done:m] == sig[q, done:m]).sum(1)
+            stay = matches >= least_m
+            p, q, matches, done = p[stay], q[stay], matches[stay], m
+        found.append((p, q, matches))
+    p, q, matches = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+    order = np.argsort(-matches, kind="stable")
+    return node, c, p[order], q[order]
+
+
+LIVE = "bucket long, i long, j long, block long, node long, c long, sig binary"
+
+
+def _with_partner(bounds: list[tuple[int, int]]):
+    """Of each pair of blocks the rows that are in a candidate."""
+
+    def run(batches):
+        for t in groups(batches, 3):
+            _, _, p, q = candidates_across(t, bounds)
+            if len(p):
+                yield from t.take(pa.array(np.unique(np.concatenate([p, q])))).to_batches()
 
     return run
 
 
-def _verified(candidates: DataFrame, full: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    return checkpoint(_with_both(candidates, full, "set").mapInArrow(_exact(*similarity), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")))
+def similar(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return denominator * both >= numerator * (len(x) + len(y) - both)
+
+
+def _forest(bounds: list[tuple[int, int]], similarity: tuple[int, int]):
+    """Of each pair of blocks the links that join components, none that earlier ones have joined."""
+
+    def run(batches):
+        for t in groups(batches, 3):
+            node, c, p, q = candidates_across(t, bounds)
+            sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in t.column("set")]
+            parent = {x: x for x in c.tolist()}
+
+            def root(x):
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            u, v = [], []
+            for a, b in zip(p.tolist(), q.tolist()):
+                x, y = root(int(c[a])), root(int(c[b]))
+                if x != y and similar(sets[a], sets[b], *similarity):
+                    parent[x] = y
+                    u.append(int(node[a]))
+                    v.append(int(node[b]))
+            if u:
+                yield pa.RecordBatch.from_pydict({"u": u, "v": v})
+
+    return run
 
 
 def _exact(numerator: int, denominator: int):
     def run(batches):
         for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if denominator * both >= numerator * (len(x) + len(y) - both):
-                    keep.append(i)
+            keep = [i for i, (x, y) in enumerate(zip(b.column(2), b.column(3))) if similar(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64), numerator, denominator)]
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
@@ -188,48 +241,73 @@ def _with_both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (85, 100), words: int = WORDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """``id_col, n_shingles, component_id, kept``: components of documents with numerator/denominator similarity or more."""
-    spark = tidy(df)
-    threshold = similarity[0] / similarity[1]
-    bands = bands_for(threshold, rows, miss)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    features, _ = written(shingle_features(docs, bands, rows, words), "shingles")
+def linked(df: DataFrame, similarity: tuple[int, int], words: int, rows: int, miss: float, steps: Steps) -> DataFrame:
+    """``id, h, n, component`` of each row of ``df`` (id, text): h is a hash of its text, component null for rows that are in no link."""
+    bands = bands_for(similarity[0] / similarity[1], rows, miss)
+    bounds = least_matches(similarity[0] / similarity[1], bands * rows, miss)
+    docs = df.select("id", "text", F.xxhash64("text").alias("h"))
+    features = steps.write(shingle_features(docs, bands, rows, words), "shingles")
     whole = features.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
-    classes = checkpoint(whole.groupBy("digest").agg(F.min(F.struct("id", "sig", "buckets")).alias("f")).select("digest", F.col("f.id").alias("node"), "f.sig", "f.buckets"))
-    in_bucket = W.partitionBy("bucket")
-    buckets = classes.select("node", F.explode("buckets").alias("bucket")).withColumn("rank", F.row_number().over(in_bucket.orderBy("node"))).withColumn("last", F.max("node").over(in_bucket)).withColumn("centre", F.min("node").over(in_bucket))
-    buckets = checkpoint(buckets.where(F.col("centre") < F.col("last")).select("bucket", "node", "rank", "centre"))
-    free_shuffles(spark)
-    signatures = classes.select("node", "sig")
-    wanted = buckets.select(F.col("node").alias("id")).distinct()
+    classes = whole.groupBy("digest").agg(F.min(F.struct("id", "h", "n", "sig", "buckets")).alias("f")).select("digest", "f.*")
+    classes = steps.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    members = classes.select("node", F.col("n").cast("int").alias("n"), F.explode("buckets").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where(F.col("centre") < F.col("last")).drop("last")
+    buckets = steps.write(members.join(shared, "bucket"), "buckets")
+    wanted = buckets.select("node").distinct().join(classes.select("node", "id", "h"), "node")
 
     def sets(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py() or "", words).tobytes() for x in b.column(1)], pa.binary())], ["node", "set"])
 
-    full, _ = written(docs.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(sets, "node long, set binary"), "sets")
-    free_shuffles(spark)
-    steps = least_matches(threshold, bands * rows, miss)
+    # a class has one pair of id and text hash, of which repeated rows may come
+    texts = docs.join(wanted.hint("shuffle_hash"), ["id", "h"]).dropDuplicates(["id", "h"])
+    full = steps.write(texts.select("node", "text").mapInArrow(sets, "node long, set binary"), "sets")
+    signatures = steps.write(classes.select("node", "sig"), "signatures")
+    of_digest = steps.write(classes.select("digest", "node", "id"), "nodes")
+    narrow = steps.write(features.select("id", "h", "n", "digest"), "rows")
+    steps.drop(features, classes)
     centres = buckets.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    candidates = _with_both(centres, signatures, "sig").mapInArrow(_bayes(steps), "a long, b long")
-    found = _verified(candidates, full, similarity)
-    labels = checkpoint(components(found))
-    free_shuffles(spark)
-    known = buckets.join(labels.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", "rank", F.coalesce("c", "node").alias("c"))
-    open_ = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("rank").alias("size")).where(F.col("low") < F.col("high"))
-    live = known.join(open_.select("bucket", "size"), "bucket").join(signatures, "node")
-    block = F.floor((F.col("rank") - 1) / BLOCK)
-    live = live.select("bucket", "node", "c", "sig", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK))).alias("other"))
+    passed = _with_both(centres, signatures, "sig").mapInArrow(_bayes(bounds), "a long, b long")
+    found = steps.write(_with_both(passed, full, "set").mapInArrow(_exact(*similarity), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    labels = components(found, steps)
+    known = buckets.join(labels.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", "n", F.coalesce("c", "node").alias("c"))
+    open_ = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size"), F.sum(F.col("n").cast("long")).alias("n_all")).where(F.col("low") < F.col("high"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, 8 * F.col("n_all") / BLOCK_BYTES))
+    live = known.join(open_.select("bucket", blocks.alias("blocks")), "bucket").join(signatures, "node")
+    live = live.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     live = live.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "c", "sig")
-    rest = live.groupBy("bucket", "i", "j").applyInArrow(_across(steps), "a long, b long").distinct()
-    more = _verified(rest, full, similarity)
+    near = steps.write(live.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_with_partner(bounds), LIVE), "near")
+    near = near.join(full, "node").select(*near.columns, "set")
+    more = steps.write(near.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_forest(bounds, similarity), "u long, v long").distinct(), "links")
     if not more.isEmpty():
-        labels = checkpoint(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)))
-    free_shuffles(spark)
-    of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+        labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), steps)
+    of_class = of_digest.join(labels, "node")
+    smallest = of_class.groupBy("component").agg(F.min("id").alias("smallest"))
+    of_class = of_class.join(smallest, "component").select("digest", "smallest")
+    single = of_digest.select("digest", F.col("id").alias("own"))
+    return narrow.join(single.join(of_class, "digest", "left").select("digest", F.coalesce("smallest", "own").alias("component")), "digest", "left")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (85, 100), words: int = WORDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """``id_col, n_shingles, component_id, kept, text_hash``: components of documents with numerator/denominator similarity or more.
+
+    text_hash (xxhash64 of the text) tells rows with one id apart.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    with Steps(df) as steps:
+        found = steps.keep(linked(docs, similarity, words, rows, miss, steps).select("id", "h", "n", "component"), "near-duplicates")
     return (
-        features.join(of_class, "digest", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+        found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), F.col("h").alias("text_hash"))
         .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
     )
+
+
+def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """All rows and columns of ``df`` but those that :func:`near_duplicates` does not keep.
+
+    A row goes by its own id and text: other rows with its id stay, and so do
+    repeated rows of a kept one.
+    """
+    gone = near_duplicates(df, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__h")).distinct()
+    here = df.withColumn("__of", F.xxhash64(F.col(text_col).cast("string")))
+    return here.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__of") == F.col("__h")), "left_anti").select(*df.columns)

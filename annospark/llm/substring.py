@@ -14,15 +14,14 @@ Both joins are exchanges of chunks with ranges of hashes (see
 comes once from each chunk, and the answer is a bit.
 
 Rows: a null text has no words; a null id takes no part and loses nothing;
-rows with one id are told apart by their texts and do not match each other (no
-id is smaller); an empty table gives an empty result; other columns are
+rows with one id are told apart by a 64-bit hash of their texts and do not
+match each other (no id is smaller); an empty table gives an empty result; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annospark.llm import exchange
-from annospark.llm.common import free_shuffles, gram_hashes, mix64, remove, text_bytes, tidy, winnow_places, word_hashes, written
+from annospark.llm.common import Steps, gram_hashes, mix64, text_bytes, winnow_places, word_hashes
 from annospark.llm.exchange import expand, squeeze
 
 WINDOW = 13
@@ -45,28 +44,23 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def _tag(text: str) -> int:
-    """16 bits of the text, by which rows with one id are told apart."""
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) & 0xFFFF
-
-
 def _encode(batches):
-    """Chunks of documents: ids, tags, words a document, and the words as numbers of the chunk's distinct hashes."""
+    """Chunks of documents: ids, text hashes, words a document, and the words as numbers of the chunk's distinct hashes."""
     from pyspark import TaskContext
 
     base, n = TaskContext.get().partitionId() << 24, 0
 
     def chunk():
         words, stream = np.unique(np.concatenate(hashes), return_inverse=True)
-        data = squeeze(np.array(ids, np.int64), np.array(tags, np.uint16), np.array(list(map(len, hashes)), np.int64), stream.astype(np.uint32), words)
+        data = squeeze(np.array(ids, np.int64), np.array(tags, np.int64), np.array(list(map(len, hashes)), np.int64), stream.astype(np.uint32), words)
         return exchange.rows([(base + n, data)], ("chunk", "blob"))
 
     ids, tags, hashes, size = [], [], [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+        for i, h, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1)):
             text = t.as_py()
             ids.append(i)
-            tags.append(_tag(text))
+            tags.append(h)
             hashes.append(word_hashes(words_of(text)))
             size += len(text) + 64
             if size > CHUNK_BYTES:
@@ -126,11 +120,11 @@ class Chunk:
             yield p, squeeze(self.runs[s:e], self.more[s:e], self.low[s:e])
 
     def repeats(self, smaller: np.ndarray):
-        """(id, places) of documents with repeated runs."""
+        """(id, text hash, places) of documents with repeated runs."""
         hit = np.flatnonzero(smaller[self.run] | (self.owner > self.low[self.run]))
         doc = self.doc[self.starts[hit]]
         for d, s, e in exchange.ranges(doc):
-            yield int(self.ids[d]), ((self.starts[hit[s:e]] - self.begin[d]) | (int(self.tags[d]) << 32)).tolist()
+            yield int(self.ids[d]), int(self.tags[d]), (self.starts[hit[s:e]] - self.begin[d]).tolist()
 
 
 def _shared_seeds(p, chunks, parts):
@@ -167,7 +161,8 @@ def _asking(window: int, gram: int, bits: int, step: str):
                     c.extend(_bits(b.column(2)[i].as_py()))
                 if step == "repeats":
                     found = list(c.repeats(_bits(b.column(3)[i].as_py())))
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["id", "starts"])
+                    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], ["id", "h", "starts"])
                 else:
                     name = b.column(0)[i].as_py()
                     yield exchange.rows([(p, name, blob) for p, blob in (c.ask_seeds() if step == "seeds" else c.ask_runs())])
@@ -176,27 +171,22 @@ def _asking(window: int, gram: int, bits: int, step: str):
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``id, starts``: for each document with repeats the places (start | tag << 32) of its repeated runs."""
-    spark = tidy(df)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    """``id, h, starts``: for each document with repeats the places of its repeated runs; h is xxhash64 of its text."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("h")).where("id is not null and text is not null")
     bits = max(2, int(text_bytes(docs) // RANGE_BYTES).bit_length())
-    chunks, at = written(docs.mapInArrow(_encode, "chunk long, blob binary"), "chunks")
-    seeds, at_seeds = written(exchange.reduce(chunks.mapInArrow(_asking(window, gram, bits, "seeds"), exchange.ASK), _shared_seeds), "seeds")
-    free_shuffles(spark)
-    runs, at_runs = written(exchange.reduce(exchange.answered(chunks, seeds).mapInArrow(_asking(window, gram, bits, "runs"), exchange.ASK), _smaller_runs), "runs")
-    free_shuffles(spark)
-    found, _ = written(exchange.answered(chunks, seeds, runs).mapInArrow(_asking(window, gram, bits, "repeats"), "id long, starts array<bigint>").groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts")), "repeats")
-    free_shuffles(spark)
-    remove(spark, at, at_seeds, at_runs)
-    return found
-
-
-def covered(text: str, starts: list[int] | None, n: int, window: int) -> np.ndarray:
+    with Steps(df, exchange.ONE_A_BATCH) as steps:
+        chunks = steps.write(docs.mapInArrow(_encode, "chunk long, blob binary"), "chunks")
+        seeds = steps.write(exchange.reduce(chunks.mapInArrow(_asking(window, gram, bits, "seeds"), exchange.ASK), _shared_seeds), "seeds")
+        runs = steps.write(exchange.reduce(exchange.answered(chunks, seeds).mapInArrow(_asking(window, gram, bits, "runs"), exchange.ASK), _smaller_runs), "runs")
+        found = exchange.answered(chunks, seeds, runs).mapInArrow(_asking(window, gram, bits, "repeats"), "id long, h long, starts array<bigint>")
+        return steps.keep(found.dropDuplicates(["id", "h"]), "repeats")  # repeated rows of one id and text have the same
+
+
+def covered(starts: list[int] | None, n: int, window: int) -> np.ndarray:
     """Which of n words a repeated run covers."""
     edge = np.zeros(n + 1, dtype=np.int64)
     if starts:
-        at = np.array(starts, dtype=np.int64)
-        at = np.unique(at[(at >> 32) == _tag(text)] & 0xFFFFFFFF)
+        at = np.unique(np.array(starts, dtype=np.int64))
         edge[at] += 1
         edge[at + window] -= 1
     return np.cumsum(edge[:-1]) > 0
@@ -205,8 +195,8 @@ def covered(text: str, starts: list[int] | None, n: int, window: int) -> np.ndar
 def with_repeats(df: DataFrame, run, schema: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``run`` over Arrow batches of id, text, starts and the columns in ``keep``."""
     found = repeats(df, id_col, text_col, window, gram)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
-    return docs.join(found, "id", "left").select("id", "text", "starts", *[f"_k{i}" for i in range(len(keep))]).mapInArrow(run, schema)
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+    return docs.join(found, ["id", "h"], "left").select("id", "text", "starts", *[f"_k{i}" for i in range(len(keep))]).mapInArrow(run, schema)
 
 
 def kept_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -221,7 +211,7 @@ def kept_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             for x, starts in zip(b.column(1), b.column(2)):
                 text = x.as_py() or ""
                 words = words_of(text)
-                out = covered(text, starts.as_py(), len(words), window)
+                out = covered(starts.as_py(), len(words), window)
                 n.append(len(words))
                 gone.append(int(out.sum()))
                 left = [w for w, o in zip(words, out.tolist()) if not o] if gone[-1] else words
@@ -239,7 +229,7 @@ def cut(text: str, starts: list[int] | None, window: int = WINDOW) -> str:
     if not starts:
         return text
     found = list(WORD_RE.finditer(text))
-    out = covered(text, starts, len(found), window)
+    out = covered(starts, len(found), window)
     if not out.any():
         return text
     ends = [*(m.start() for m in found[1:]), len(text)]

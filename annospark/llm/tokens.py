@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annospark.llm.common import checkpoint
+from annospark.llm.common import Steps
 
 #: Pre-tokens that a task's summary and the broadcast table hold at most.
 TABLE_SIZE = 16_384
@@ -136,16 +136,13 @@ def _merged(k: int):
 def frequent_pretokens(df: DataFrame, path: str, text_col: str = "text", k: int = TABLE_SIZE) -> list[str]:
     """The k most frequent pre-tokens by mergeable bounded summaries of all rows."""
     summaries = df.select(F.col(text_col).cast("string")).mapInArrow(_summaries(path, k), "blob string")
-    n = df.rdd.getNumPartitions()
-    if n > FAN_IN:
-        summaries = checkpoint(summaries)
-        while n > FAN_IN:
+    n, total = df.rdd.getNumPartitions(), Counter()
+    with Steps(df) as steps:
+        while n > 1:  # down to one summary, FAN_IN of which meet in a task
             n = -(-n // FAN_IN)
-            summaries = checkpoint(summaries.coalesce(n).mapInArrow(_merged(k), "blob string"))
-    total = Counter()
-    for row in summaries.collect():  # FAN_IN summaries at most
-        total.update(json.loads(row.blob))
-        total = _top(total, 4 * k)
+            summaries = steps.write(summaries, "summaries").coalesce(n).mapInArrow(_merged(k), "blob string")
+        for row in summaries.collect():
+            total.update(json.loads(row.blob))
     return [u for u, _ in total.most_common(k)]
 
 
