@@ -7,13 +7,17 @@ likelihood of lines that take their document's label.  A document's mean
 marginal of "good", weighted by line lengths, passes a logistic curve fitted
 on the training documents and is its score.
 
-Training takes at most ``per_class`` labelled documents of each class, those
-with the smallest hash of (id, text), and weighs them by the class's share of
-all labelled rows; the score thus estimates the probability of label 1.
+Training takes at most ``per_class`` labelled documents of each class, and no
+more than ``class_bytes`` of their text (but one document at least): those with
+the smallest hash of (id, text), and weighs them by the class's share of all
+labelled rows; the score thus estimates the probability of label 1.  The sample
+is chosen by ids and hashes alone; then a broadcast of the chosen hashes
+fetches its texts, so no other text is shuffled.
 
 Rows: a null or empty text is one empty line and is scored like any other;
 null and repeated ids are kept, one row out for each row in; label rows with a
-null label or without a document are not learned from; with no labelled row
+null label or without a document are not learned from, rows of one id, text and
+label once; with no labelled row
 every score is 0.5; with one class, its share; other columns are ignored.
 """
 
@@ -27,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annospark.llm.common import slices
+from annospark.llm.common import Steps, slices
 
 #: Documents of a class that training takes at most.
 PER_CLASS = 1500
+#: Bytes of text that training takes of a class at most.
+CLASS_BYTES = 16 << 20
 BINS = 6
 _SYMBOL = re.compile(r"[^\w\s]")
 FEATURES = 12
@@ -195,16 +201,32 @@ def train(sample: list[tuple[str, int]], share: float) -> Field | Constant:
     return field
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Field | Constant:
-    """A model from rows of id, text and label (0 or 1)."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("int").alias("y"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"))
-    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    if not counts:
-        return Constant(0.5)
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, 2.0 * per_class / counts.get(1, 1)))).otherwise(F.lit(min(1.0, 2.0 * per_class / counts.get(0, 1))))
-    few = rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < share * (1 << 20))
-    few = few.withColumn("rank", F.row_number().over(W.partitionBy("y").orderBy("h", "text"))).where(F.col("rank") <= per_class)
-    sample = sorted((r.text, r.y) for r in few.select("text", "y").toLocalIterator())
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Field | Constant:
+    """A model from documents and the labels (0 or 1) of some ids."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"))
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    rows = texts.select("id", "h", F.octet_length("text").alias("size")).join(known, "id").groupBy("h", "y").agg(F.max("size").alias("size"))
+    with Steps(docs) as steps:
+        rows = steps.write(rows, "labelled")
+        counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+        if not counts:
+            return Constant(0.5)
+        # the part below a bound holds more than per_class rows in all likelihood; the ranking is over few rows then, and over all if it does not
+        share = lambda y: F.lit(min(1.0, 2.0 * per_class / counts.get(y, 1)))
+        part = rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.when(F.col("y") == 1, share(1)).otherwise(share(0)) * (1 << 20))
+        if any(part.where(F.col("y") == y).count() < min(per_class, n) for y, n in counts.items()):
+            part = rows
+        order = W.partitionBy("y").orderBy(F.pmod(F.col("h"), F.lit(1 << 20)), "h")
+        part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class)
+        chosen, used = {}, {0: 0, 1: 0}
+        for r in part.orderBy("y", "rank").collect():  # two numbers a row
+            used[r.y] += r["size"]
+            if r["rank"] == 1 or used[r.y] <= class_bytes:
+                chosen.setdefault(r.h, []).append(r.y)
+        few = docs.sparkSession.createDataFrame([(h,) for h in chosen], "h long")
+        got = texts.join(F.broadcast(few), "h").groupBy("h").agg(F.first("text").alias("text")).collect()
+    sample = sorted((r.text, y) for r in got for y in chosen[r.h])
     return train(sample, counts.get(1, 0) / sum(counts.values()))
 
 

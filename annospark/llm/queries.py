@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annospark.llm import decontaminate, fingerprint, langid, lm, neardup, oracle, packing, quality, substring, tokens, warc
-from annospark.llm.common import crc32_rest, documents, table
+from annospark.llm.common import crc32_rest, documents, fresh_path, table
 
 
 def vocabulary(name: str) -> str:
@@ -43,7 +43,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Field | quality.Constant:
     """The quality model of the labelled documents that are not held out."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(crc32_rest("doc_id", 5) != 0)
-    return quality.learn(documents(spark, sf_dir).join(labels, "doc_id"))
+    return quality.learn(documents(spark, sf_dir), labels)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +53,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    records = warc.archive_pages(pages)
-    ids = records.where(F.col("record_type") == "response").select(F.col("record_id").alias("refers_to_id"), F.col("page").cast("long").alias("refers_to"))
-    again = records.where(F.col("refers_to_id").isNotNull()).join(ids, "refers_to_id").select("record_id", "refers_to")
-    return (
-        records.join(again, "record_id", "left")
-        .select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
-    )
+    records = warc.archive_pages(pages, fresh_path(spark, "archives"))
+    return records.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").cast("long").alias("refers_to"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +62,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir), similarity=(85, 100))
+    return neardup.near_duplicates(documents(spark, sf_dir), similarity=(85, 100)).drop("text_hash")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
