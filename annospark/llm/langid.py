@@ -23,7 +23,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -53,7 +52,6 @@ FAMILIES = {
     "indo-aryan": "hi bn ur pa mr gu ne",
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(lang: str) -> str:
@@ -177,7 +175,7 @@ class Model:
         out: list = [(self.root, 1.0)] * len(texts)
         if isinstance(self.root, Node) and texts:
             self.root.walk(h, n, np.arange(len(texts)), out)
-        return [(lang, min(1.0, max(0.0, p))) if self.langs and _LETTER.search(t) else ("und", 0.0) for t, (lang, p) in zip(texts, out)]
+        return [(lang, min(1.0, max(0.0, p))) if self.langs and any(map(str.isalpha, t)) else ("und", 0.0) for t, (lang, p) in zip(texts, out)]
 
 
 def training_set(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, total: int = TOTAL) -> tuple[np.ndarray, list[str]]:
