@@ -118,18 +118,31 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield [(r.item, r.text) for r in rows.toLocalIterator()]
 
 
-def find_overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
-    """``id_col, [text], n_words, spans, items``: spans are hit word ranges [start, end), merged; items are sorted ids as text."""
+_indexes: dict[tuple, BenchmarkIndex] = {}
+
+
+def _index(block, window: int, gram: int) -> BenchmarkIndex:
+    """The index of a broadcast block, made once a worker; a worker holds one."""
+    key = (block._path, window, gram)
+    if key not in _indexes:
+        _indexes.clear()
+        _indexes[key] = BenchmarkIndex(block.value, window, gram)
+    return _indexes[key]
+
+
+def find_overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col, n_words, spans, items`` and the columns in ``keep``, as ``keep_0``, ``keep_1`` ...: spans are hit word ranges [start, end), merged; items are sorted ids as text."""
     sc = documents.sparkSession.sparkContext
-    out = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    schema = f"id {out.schema['id'].dataType.simpleString()}, text string, n_words long, spans array<struct<s:bigint,e:bigint>>, items array<string>"
+    out = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    kept = "".join(f", keep_{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    schema = f"id {out.schema['id'].dataType.simpleString()}, text string, n_words long, spans array<struct<s:bigint,e:bigint>>, items array<string>{kept}"
     kinds = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string())
     blocks = list(map(sc.broadcast, _blocks(benchmark, item_col, item_text_col, block_bytes)))
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
 
-        def step(batches, block=block, keep=keep_text or not last):
-            index = BenchmarkIndex(block.value, window, gram)
+        def step(batches, block=block, last=last):
+            index = _index(block, window, gram)
             number = index.numbers.get
             gap = [-1] * window
             for b in batches:
@@ -150,10 +163,16 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
                         row = first + d
                         spans[row] = merged([*((x["s"], x["e"]) for x in spans[row]), *((s, s + n) for s, n, _ in hits)])
                         items[row] = sorted({*items[row], *(x for *_, of in hits for x in of if x is not None)})
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1) if keep else pa.nulls(b.num_rows, pa.string()), pa.array(n_words, pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1])], ["id", "text", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(b.num_rows, pa.string()) if last else b.column(1), pa.array(n_words, pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1]), *b.columns[5:]], b.schema.names)
 
         out = out.mapInArrow(step, schema)
-    return out.select(F.col("id").alias(id_col), *(["text"] if keep_text else []), "n_words", "spans", "items")
+    return out.select(F.col("id").alias(id_col), "n_words", "spans", "items", *[f"keep_{i}" for i in range(len(keep))])
+
+
+def without_overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """All rows and columns of ``documents`` but the rows with a hit span; each row goes by its own text."""
+    found = find_overlaps(documents, benchmark, id_col, keep=tuple(documents.columns), **how)
+    return found.where(F.size("spans") == 0).select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(documents.columns)])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[dict]:

@@ -7,9 +7,11 @@ documents.  Documents are dealt into randomised groups of about
 more than a group and the groups are as many as the input asks for.
 
 Rows: a null text counts as empty and is its end id alone; null and repeated
-ids are kept, each row packed by itself (the group is drawn from the id and
-the row's place in its task, so rows with one id don't meet in one group);
-an empty table gives an empty result; other columns are ignored.
+ids are kept, each row packed by itself; a row's group is drawn from its id,
+its token ids and its partition's number, so a repeated task deals as the first
+did, in whatever order its rows come (repeated rows of one id and text share a
+group with those of their partition alone); an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -160,13 +162,14 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     width = 4 * capacity
 
     def pieces(batches):
-        enc, row = _encoder(path, ranks), 0
+        from pyspark import TaskContext
+
+        enc, salt = _encoder(path, ranks), f"{seed} {TaskContext.get().partitionId()}"
         for b in batches:
             ids_of, of, start, length, crc, total, group = b.column(0), [], [], [], [], [], []
             for i, text in enumerate(b.column(1)):
                 ids = enc.encode(text.as_py() or "") + end
-                g = zlib.crc32(f"{seed} {ids_of[i].as_py()} {row}".encode()) % groups
-                row += 1
+                g = zlib.crc32(ids, zlib.crc32(f"{salt} {ids_of[i].as_py()} ".encode())) % groups
                 for at in range(0, len(ids), width):
                     part = ids[at : at + width]
                     of.append(i)
