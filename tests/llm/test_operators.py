@@ -1,6 +1,8 @@
 """The queries against brute force, libraries and held-out accuracy."""
 
+import itertools
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -10,7 +12,8 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
-from annospark.llm import components, decontaminate, fingerprint, lm, neardup, packing, queries, tokens, warc
+from annospark.llm import components, decontaminate, fingerprint, langid, lm, neardup, packing, quality, queries, tokens, warc
+from annospark.llm.common import Steps
 from edge_rows import EDGE
 from pyspark.sql import functions as F
 
@@ -85,6 +88,55 @@ def test_restaurants():
     assert (t >= 1).all() and (t <= customers).all() and t[0] == 1 and t[5] > t[3]
 
 
+def test_op6_marginals():
+    """Forward and backward against all labellings of each text's lines."""
+    r = np.random.RandomState(2)
+    field = quality.Field(np.zeros((quality.FEATURES, quality.BINS - 1)))
+    field.t = r.normal(size=(2, 2))
+    n = np.array([1, 4, 2, 6])
+    u = r.normal(size=(n.sum(), 2))
+    want = np.zeros_like(u)
+    for s, m in zip(np.cumsum(n) - n, n):
+        for y in itertools.product((0, 1), repeat=int(m)):
+            p = np.exp(sum(u[s + t, y[t]] for t in range(m)) + sum(field.t[y[t - 1], y[t]] for t in range(1, m)))
+            for t in range(m):
+                want[s + t, y[t]] += p
+    assert np.allclose(field.marginals(u, n), want / want.sum(1)[:, None])
+
+
+def test_op6_sample(spark):
+    """Bounded by rows and bytes, the same for every layout; repeated rows, nulls and unknown ids."""
+    docs = spark.range(400).selectExpr("id doc_id", "if(id % 2 = 0, concat('Good line here. Number ', id, '.'), concat('bad bad bad ### ', id)) text")
+    docs = docs.unionByName(docs.limit(30)).unionByName(spark.createDataFrame([(None, "x"), (399, None)], "doc_id long, text string"))
+    labels = spark.range(500).selectExpr("id doc_id", "if(id % 7 = 3, null, int(id % 2 = 0)) quality")
+    a = quality.learn(docs, labels, per_class=50, class_bytes=600)
+    b = quality.learn(docs.repartition(5), labels.repartition(3), per_class=50, class_bytes=600)
+    assert np.array_equal(a.w, b.w) and a.score(["Good line here. Number 5."])[0] > 0.5 > a.score(["bad bad bad ### 5"])[0]
+    assert isinstance(quality.learn(docs.limit(0), labels), quality.Constant)
+
+
+@pytest.mark.parametrize("text", ["½ 25 ²", "①", "123 !?", "  ", "__ 5", ""])
+def test_op3_without_letters(text):
+    model = langid.Model(langid.frequencies(["some english words", "des mots français"]), ["en", "fr"])
+    assert model.predict([text, "words", "日本"])[0] == ("und", 0.0)
+    assert all(a in ("en", "fr") for a, _ in model.predict([text, "words", "日本"])[1:])
+
+
+def test_op3_decides_as_machines_do():
+    """The tree's decision against one-versus-one machines applied one by one."""
+    r = random.Random(5)
+    letters = {"en": "etaoin", "de": "enisrx", "fr": "esaitv", "es": "eaosrq", "ja": "あいうえお"}
+    texts = [(a, "".join(r.choice(s + " ") for _ in range(60))) for a, s in letters.items() for _ in range(25)]
+    x = langid.frequencies([t for _, t in texts])
+    model = langid.Model(x, [a for a, _ in texts])
+    for a, t in texts[::7]:
+        at, f = model.root, langid.frequencies([t])[0]
+        while isinstance(at, langid.Node):
+            margins = np.array([float(w @ f) + b for w, b in zip(at.weights, at.bias)])
+            at = at.children[at.decide(margins)[0]]
+        assert model.predict([t])[0][0] == at == a
+
+
 @pytest.mark.parametrize("name, least", [("op3", 0.97), ("op6", 0.85)])
 def test_held_out_accuracy(spark, name, least):
     at = "/root/testdata/sf0.01"
@@ -176,7 +228,7 @@ def test_first_fit_decreasing():
     assert packing.first_fit_decreasing(sizes, 100) == [want[i] for i in range(400)]
 
 
-def test_op7(spark, data, edge):
+def test_op7(spark, data, edge, tmp_path):
     p = pd.read_parquet(f"{data}/pages.parquet")
     got = known(run(spark, "op7", data).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
     assert got == brute.archive(list(zip(p.page_id.tolist(), p.html.tolist())))
@@ -184,10 +236,29 @@ def test_op7(spark, data, edge):
     want = brute.archive([(r.page_id, r.html) for r in rows.collect()])
     assert sum(v[2] == "revisit" for v in want.values()) == 3
     assert known(run(spark, "op7", edge).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) == want
-    far = warc.archive_pages(rows, min_payload=1, arc_version="2")
+    far = warc.archive_pages(rows, str(tmp_path), min_payload=1, arc_version="2")
     assert {r.page: r.record_type for r in far.collect()}["4"] == "response"
 
 
+def test_op7_repeated_rows(spark, tmp_path):
+    """As many rows out as in; one response for each payload with an id, none of which refers to anything."""
+    rows = [(1, "u", "same"), (1, "u", "same"), (1, "v", "same"), (2, "u", "same"), (None, "u", "same"), (None, "u", "same"), (3, "u", "other"), (3, "u", "other"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.archive_pages(pages, str(tmp_path)).collect()
+    assert len({r.record_id for r in got}) == len(rows) == len(got)
+    kinds = sorted((r.page or "", r.record_type, r.refers_to_page or "", r.payload_bytes) for r in got)
+    assert kinds == sorted([("1", "response", "", 4), ("1", "revisit", "1", 4), ("1", "revisit", "1", 4), ("2", "revisit", "1", 4), ("", "response", "", 4), ("", "response", "", 4), ("3", "response", "", 5), ("3", "revisit", "3", 5), ("", "response", "", 0)])
+    by_id = {r.record_id: r for r in got}
+    assert all(by_id[r.refers_to_id].page == r.refers_to_page for r in got if r.record_type == "revisit")
+
+
+def test_op7_files_are_cut(spark, tmp_path):
+    pages = spark.range(50).selectExpr("id page_id", "concat('http://h/', id) url", "repeat(cast(id as string), 300) html")
+    warc.write_arc(pages, f"{tmp_path}/arc", file_bytes=2000)
+    assert warc.read_files(spark, f"{tmp_path}/arc").count() > 8
+    assert warc.arc_index(spark, f"{tmp_path}/arc").count() == 50
+
+
 def test_arc_versions():
     body = b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nhello"
     for version, more in (("1", ""), ("2", "200 - - 0 x.arc ")):
@@ -231,7 +302,36 @@ def test_op9_chain_of_copies(spark):
             w[j] = f"e{r.random()}"
         texts.append(" ".join(w))
     docs = [(1000 - i, t) for i, t in enumerate(texts)]
-    assert known(neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute.near(docs)
+    assert known(neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).drop("text_hash")) == brute.near(docs)
+
+
+def test_op9_open_buckets(spark, monkeypatch):
+    """Groups at the threshold, of which one centre does not link all, in blocks of a few classes."""
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 16 << 10)
+    r, docs = random.Random(3), []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(200)]
+        for k in range(60):
+            w = list(base)
+            for j in r.sample(range(200), 1 + k % 4):
+                w[j] = f"e{r.random()}"
+            docs.append((len(docs), " ".join(w)))
+    r.shuffle(docs)
+    docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    want = brute.near(docs)
+    assert 3 < len({c for _, c, _ in want.values()}) < 100
+    assert known(neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).drop("text_hash")) == want
+
+
+def test_op9_repeated_ids(spark):
+    """Rows with one id go by their own texts."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(1, one), (2, two), (2, one), (3, two), (3, three), (3, three), (None, one)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == sorted([(1, 1, True), (2, 2, True), (2, 1, False), (3, 2, False), (3, 3, True), (3, 3, True), (0, 0, True)])
+    left = sorted((r.doc_id or 0, r.text) for r in neardup.without_duplicates(docs).collect())
+    assert left == sorted([(1, one), (2, two), (3, three), (3, three), (0, one)])
 
 
 def test_bounds_of_matches():
@@ -253,9 +353,22 @@ def test_components(spark):
     for a, b in edges:
         a, b = root(a), root(b)
         up[max(a, b)] = min(a, b)
-    got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {x: root(x) for e in edges for x in e if e[0] != e[1]}
-    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    given = spark.createDataFrame(edges, "u long, v long")
+    with Steps(given) as steps:
+        got = {x.node: x.component for x in components.components(given, steps).collect()}
+        assert got == {x: root(x) for e in edges for x in e if e[0] != e[1]}
+        assert components.components(given.limit(0), steps).count() == 0
+
+
+def test_steps(spark):
+    """Settings are as before, and only kept tables are left."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with Steps(spark.range(3)) as steps:
+        assert spark.conf.get(name) == "true"
+        gone, kept = steps.write(spark.range(3), "x"), steps.keep(spark.range(4), "y")
+        assert gone.count() == 3
+    assert spark.conf.get(name) == before and kept.count() == 4 and not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
 
 
 def test_op10(spark, data, docs, edge):
