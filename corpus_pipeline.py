@@ -9,7 +9,10 @@
 4. decontaminate: documents with a run of 10 words of a benchmark item go.
 5. pack: what is left is packed into sequences of 1024 tokens.
 
+Every stage decides row by row: a row is never dropped for what another row
+with its id holds.  Stages 1 to 4 return the columns that they are given.
 Rows with a null id pass stages 1 to 4 like others, but are never duplicates.
+:func:`run` deletes each stage's table as soon as the next has been written.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annospark.llm import decontaminate, neardup, packing, quality, substring
-from annospark.llm.common import fresh_path, table
+from annospark.llm.common import fresh_path, remove, table
 from annospark.llm.queries import quality_model, vocabulary
 
 #: Rejected below this score.
@@ -26,29 +29,33 @@ QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a score of ``QUALITY`` at least; empty and null texts are scored as one empty line."""
     scored = quality.score(docs, quality_model(spark, sf_dir), keep=tuple(c for c in docs.columns if c != "doc_id"), out_col="__quality")
     return scored.where(F.col("__quality") >= QUALITY).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(docs, similarity=(80, 100)).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose id is the smallest of their component; repeated rows of one id and text stay or go together."""
+    return neardup.without_duplicates(docs, similarity=(80, 100))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without their repeats, but for rows that had words and lose all; ``n_chars``, if there is one, is that of the new text."""
     has_word = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     left = substring.without_repeats(docs.withColumn("__had_word", has_word), window=13)
-    n = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
-    return left.where(has_word | ~F.col("__had_word")).withColumn("n_chars", n).select(*docs.columns)
+    left = left.where(has_word | ~F.col("__had_word"))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return left.select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows without a hit word."""
+    return decontaminate.without_overlaps(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece of a packed document (see :func:`packing.pack`)."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0, ranks=vocabulary("byte_bpe_50k.tiktoken"))
 
 
@@ -64,9 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last:
+            remove(spark, last)
+        last = path
+    return docs
