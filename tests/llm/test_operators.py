@@ -75,17 +75,80 @@ def test_op2_known_words_beat_unknown_ones(spark):
     train = [(i, " ".join(r.choices(words, k=20))) for i in range(100, 160) if zlib.crc32(str(i).encode()) % 7 != 2]
     probes = {next(held): f"w3 {w}" for w in [*words, "unknown"]}
     got = known(lm.score(spark.createDataFrame([*train, *probes.items()], "doc_id long, text string"), held_out=(2, 7)))
-    scores = {t.split()[1]: got[i][-1] for i, t in probes.items()}
+    scores = {t.split()[1]: got[i][-2] for i, t in probes.items()}
     assert all(s < 0 for s in scores.values()) and min(scores, key=scores.get) == "unknown"
 
 
-def test_restaurants():
+def test_stirling_numbers():
     s = lm.log_stirling(0.5, 6)
     assert s[1, 1] == 0 and np.isclose(np.exp(s[3, 2]), (1 - 0.5) + (2 - 1.0))
-    rng = np.random.RandomState(0)
-    customers = np.array([1, 2, 5, 40, 500, 20_000])
-    t = lm.sweep(customers, np.minimum(customers, 1), np.zeros(6, np.int64), np.zeros(1), np.full(6, 0.05), 0.8, 4.0, lm.log_stirling(0.8), rng)
-    assert (t >= 1).all() and (t <= customers).all() and t[0] == 1 and t[5] > t[3]
+    assert np.allclose(lm.lgamma(np.array([0.2, 1.0, 7.9, 8.0, 1e6])), [math.lgamma(x) for x in (0.2, 1.0, 7.9, 8.0, 1e6)])
+    exact = lm.log_stirling(0.6, 2000)
+    t = np.array([1, 20, 150, 800, 1900, 2000])
+    assert np.abs(lm.log_stirling_at(0.6, np.full(6, 2000), t) - exact[2000, t]).max() < 0.3
+    assert np.allclose(lm.log_stirling_at(0.6, np.full(3, 900), t[:3]), exact[900, t[:3]])
+
+
+def test_sweeps_draw_from_the_conditional():
+    """Tables of a dish alone in its restaurant, drawn directly and by Metropolis-Hastings steps, against the exact distribution."""
+    rng, d, strength = np.random.RandomState(0), 0.8, 4.0
+    for c, base in ((2, 0.1), (30, 0.02), (40, 0.5), (200, 0.01), (900, 0.3)):
+        n = 400
+        customers, tables = np.full(n, c), np.ones(n, np.int64)
+        own, zero = np.arange(n), np.zeros(n)
+        t = lm.sweep(customers, tables, own, zero, np.full(n, base), d, strength, rng, first=True)
+        for _ in range(25):
+            t = lm.sweep(customers, t, own, zero, np.full(n, base), d, strength, rng)
+        k = np.arange(1, c + 1)
+        p = lm.log_stirling(d)[c, 1 : c + 1] + k * np.log(base) + np.cumsum(np.log(strength + d * (k - 1)))
+        p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+        mean = (k * p).sum()
+        sd = math.sqrt((k**2 * p).sum() - mean**2)
+        assert abs(t.mean() - mean) < 5 * sd / math.sqrt(n) + 1e-9, (c, t.mean(), mean)
+
+
+def plain_sampler(texts, sweeps=300, burn_in=60, seed=1):
+    """Averaged P(w | u) by the same model, one dish after another in memory; words are numbers, the last is unknown."""
+    rng = np.random.RandomState(seed)
+    words = sorted({w for t in texts for w in t.split()}) + ["\n"]
+    at, v = {w: i for i, w in enumerate(words)}, len(words)
+    c = np.zeros((v + 1, v + 1), dtype=np.int64)
+    for t in texts:
+        for u, w in zip(["\n", *t.split()], [*t.split(), "\n"]):
+            c[at[u], at[w]] += 1
+    t, top, out, one = np.minimum(c, 1), np.minimum(c, 1).sum(0).clip(0, 1), 0, np.zeros(1)
+    (d, a), (d0, a0) = lm.CONTEXT, lm.PARENT
+    for i in range(sweeps):
+        for w in range(v):
+            rest = np.array([float(top.sum() - top[w])])
+            top[w] = lm.sweep(t[:, w].sum(keepdims=True), top[w : w + 1], np.zeros(1, np.int64), rest, np.full(1, 1 / (v + 1)), d0, a0, rng)[0]
+        base = (t.sum(0) - d0 * top + (a0 + d0 * top.sum()) / (v + 1)) / (a0 + t.sum())
+        if i >= burn_in:
+            out = out + (c - d * t + (a + d * t.sum(1, keepdims=True)) * base) / (a + c.sum(1, keepdims=True))
+        for u, w in zip(*np.nonzero(c > 1)):
+            rest = one + t[u].sum() - t[u, w]
+            t[u, w] = lm.sweep(c[u, w : w + 1], t[u, w : w + 1], np.zeros(1, np.int64), rest, base[w : w + 1], d, a, rng)[0]
+    return words, at, out / (sweeps - burn_in)
+
+
+def test_op2_against_a_plain_sampler(spark, monkeypatch):
+    """Scores in ranges and chunks, a context dealt over ranges among them, against the sampler in memory, whose probabilities sum to 1."""
+    monkeypatch.setattr(lm, "HOT", 150)
+    monkeypatch.setattr(lm, "SAMPLES", 8)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(25)]
+    texts = [" ".join(r.choices(words, [1 / (i + 1) for i in range(25)], k=r.randint(1, 12))) for _ in range(250)]
+    _, at, p = plain_sampler(texts)
+    assert np.allclose(p.sum(1), 1)
+    ids = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    docs = dict(zip(ids, texts)) | dict(zip(held, ["new", "", "w0 w0 w24 new w1", "new new"]))
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)).collect()}
+    for i, t in docs.items():
+        path = [at.get(w, len(at)) for w in ["\n", *t.split(), "\n"]]
+        want = sum(math.log10(p[u, w]) for u, w in zip(path, path[1:]))
+        assert abs(got[i].score - want) < 0.03 * abs(want), (t, got[i].score, want)
+        assert np.isclose(got[i].perplexity, 10 ** (-got[i].score / got[i].n_tokens)) and got[i].held_out == (i in held)
 
 
 def test_op6_marginals():
