@@ -284,13 +284,13 @@ def predictive(customers, tables, all_customers, all_tables, base, discount: flo
 
 # ---- pairs
 
-#: Rows between sweeps.  kind: 0 a range's state, 1 its tables of words for a range of words, 2 a range of words' state, 3 its answer.
-MOVE = "kind int, to int, frm int, blob binary, n_customers long, n_tables long"
-STATE, TABLES, PARENT_STATE, ANSWER = range(4)
+#: Rows between sweeps.  kind: 0 a range's state, 1 its tables of words for a range of words, 2 a range of words' state, 3 its answer, 4 where a chunk's pairs are in a range.
+MOVE = "kind int, to int, frm long, blob binary, n_customers long, n_tables long"
+STATE, TABLES, PARENT_STATE, ANSWER, PLACES = range(5)
 
 
 def _moved(data: list[tuple]) -> pa.Table:
-    kinds = {"kind": pa.int32(), "to": pa.int32(), "frm": pa.int32(), "blob": pa.binary(), "n_customers": pa.int64(), "n_tables": pa.int64()}
+    kinds = {"kind": pa.int32(), "to": pa.int32(), "frm": pa.int64(), "blob": pa.binary(), "n_customers": pa.int64(), "n_tables": pa.int64()}
     return pa.table([pa.array(c, k) for c, k in zip(list(zip(*data)) or [[]] * 6, kinds.values())], names=list(kinds))
 
 
@@ -343,10 +343,9 @@ class Range:
         self.word, self.customers, self.tables = word.astype(np.int64), customers.astype(np.int64), tables.astype(np.int64)
         self.n, self.sizes = len(sizes), sizes
 
-    @staticmethod
-    def start(parts) -> Range:
-        contexts, deal, restaurant, ids, customers, _ = _gathered(parts)
-        self = Range.__new__(Range)
+    @classmethod
+    def of(cls, contexts, deal, restaurant, ids, customers) -> Range:
+        self = cls.__new__(cls)
         self.words, self.word = np.unique(ids, return_inverse=True)
         self.hot = np.stack([np.flatnonzero(deal > 1).astype(np.uint64), contexts[deal > 1]]).ravel()  # places and hashes of dealt contexts
         self.n, self.sizes, self.restaurant = len(contexts), np.bincount(restaurant, minlength=len(contexts)), restaurant
@@ -391,7 +390,13 @@ class Range:
 def _start(bits: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
-        return _moved(Range.start([expand(x) for x in t.column("blob").to_pylist()]).rows(t.column("p")[0].as_py(), bits))
+        p, parts = t.column("p")[0].as_py(), [expand(x) for x in t.column("blob").to_pylist()]
+        *pairs, place = _gathered(parts)
+        out, at = Range.of(*pairs).rows(p, bits), 0
+        for chunk, x in zip(t.column("chunk").to_pylist(), parts):  # lists are in the order of the range's pairs, so places rise
+            out.append((PLACES, p, chunk, squeeze(place[at : at + len(x[3])].astype(np.uint64)), 0, 0))
+            at += len(x[3])
+        return _moved(out)
 
     return run
 
@@ -439,24 +444,22 @@ def _draw_pairs(seed: int, k: int, bits: int, n_words: int, sums: tuple[int, int
 
 
 def _answer_pairs(samples: int):
-    """Logs of averaged probabilities of each chunk's pairs; the state's row has chunk -1."""
+    """Logs of averaged probabilities of each chunk's pairs."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("chunk")
-        p, chunks, blobs = t.column("p")[0].as_py(), t.column("chunk").to_pylist(), t.column("blob").to_pylist()
-        log_p = np.log10(expand(blobs[0])[0].astype(np.float64) / samples).astype(np.float32)
-        parts = [expand(b) for b in blobs[1:]]
-        place = _gathered(parts)[-1]
-        cuts = np.cumsum([len(x[3]) for x in parts])
-        return pa.Table.from_batches([exchange.rows([(p, c, squeeze(log_p[i])) for c, i in zip(chunks[1:], np.split(place, cuts[:-1]))])])
+        t = t.sort_by([("kind", "ascending"), ("frm", "ascending")])
+        p, chunks = t.column("to")[0].as_py(), t.column("frm").to_pylist()
+        state, *places = (expand(b)[0] for b in t.column("blob").to_pylist())
+        log_p = np.log10(state.astype(np.float64) / samples).astype(np.float32)
+        return pa.Table.from_batches([exchange.rows([(p, c, squeeze(log_p[i.astype(np.int64)])) for c, i in zip(chunks[1:], places)])])
 
     return run
 
 
 def sampled(asked: DataFrame, bits: int, n_words: int, seed: int, steps: Steps) -> DataFrame:
     """``p, chunk, blob``: for each list of pairs in ``asked`` the logs of their probabilities, averaged over the samples."""
-    pairs, parent = steps.write(asked.groupBy("p").applyInArrow(_start(bits), MOVE), "pairs"), None
-    sum_tables = 0
+    pairs = started = steps.write(asked.groupBy("p").applyInArrow(_start(bits), MOVE), "pairs")
+    parent, sum_tables = None, 0
     for k in range(BURN_IN + SAMPLES):
         last = k == BURN_IN + SAMPLES - 1
         sent = pairs.where(F.col("kind") == TABLES)
@@ -469,10 +472,12 @@ def sampled(asked: DataFrame, bits: int, n_words: int, seed: int, steps: Steps)
         own = pairs.where(F.col("kind") == STATE).unionByName(parent.where(F.col("kind") == ANSWER))
         drawn = own.groupBy("to").applyInArrow(_draw_pairs(seed, k, bits, n_words, sums, k >= BURN_IN, last), MOVE)
         before, pairs = pairs, steps.write(drawn, "pairs")
-        steps.drop(before)
-    steps.drop(parent)
-    final = pairs.select(F.col("to").alias("p"), F.lit(-1).cast("long").alias("chunk"), "blob")
-    return asked.unionByName(final).groupBy("p").applyInArrow(_answer_pairs(SAMPLES), exchange.ASK)
+        if before is not started:
+            steps.drop(before)
+    logs = pairs.unionByName(started.where(F.col("kind") == PLACES)).groupBy("to").applyInArrow(_answer_pairs(SAMPLES), exchange.ASK)
+    logs = steps.write(logs, "logs")
+    steps.drop(parent, pairs, started)
+    return logs
 
 
 # ---- scores
@@ -506,7 +511,5 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
         words = steps.write(exchange.reduce(chunks.mapInArrow(_ask_words(bits), exchange.ASK), _word_counts), "words")
         totals = exchange.totals(words)
         n_tokens, n_words = (int(totals[0]), int(totals[1])) if len(totals) > 1 else (0, 0)
-        asked = steps.write(exchange.answered(chunks, words).mapInArrow(_ask_pairs(bits), exchange.ASK), "asked")
-        logs = steps.write(sampled(asked, bits, n_words, seed, steps), "logs")
-        steps.drop(asked)
+        logs = sampled(exchange.answered(chunks, words).mapInArrow(_ask_pairs(bits), exchange.ASK), bits, n_words, seed, steps)
         return steps.keep(exchange.answered(chunks, words, logs).mapInArrow(_scores(bits, n_tokens, n_words), schema), "scores").withColumnRenamed("id", id_col)
