@@ -50,3 +50,24 @@ def unpack(color: Column) -> list[Column]:
 def packed(color: Column) -> Column:
     """``#rrggbb`` as one integer."""
     return F.conv(F.substring(color, 2, 6), 16, 10).cast("long")
+
+
+def color_shader(seed: int = 0, size: float = 10.0) -> str:
+    """A point shader that colours 32-bit segment ids, from a control, as :func:`with_color` does."""
+    return f"""#uicontrol int seed slider(min=0, max=4294967295, default={seed});
+#uicontrol int segment slider(min=0, max=4294967295, default=1);
+uint stirred(uint state, uint word) {{
+  word *= {K1:#x}u;
+  word = (word << 15 | word >> 17) * {K2:#x}u;
+  state ^= word;
+  return (state << 13 | state >> 19) * 5u + {STEP:#x}u;
+}}
+void main() {{
+  uint h = stirred(stirred(uint(seed), uint(segment)), 0u);
+  float hue = 6.0 * float(h & 255u) / 255.0;
+  float saturation = 0.5 + 0.5 * float(h >> 8 & 255u) / 255.0;
+  vec3 pure = clamp(abs(mod(hue + vec3(0.0, 4.0, 2.0), 6.0) - 3.0) - 1.0, 0.0, 1.0);
+  setPointMarkerSize({size});
+  setColor(vec4(mix(vec3(1.0), pure, saturation), 1.0));
+}}
+"""

@@ -100,3 +100,20 @@ def with_shard(df: DataFrame, key: Column, spec: ShardSpec, shard: str = "shard"
     h, mini = F.col("__h"), F.lit((1 << spec.minishard_bits) - 1).cast("long")
     at = F.shiftrightunsigned(h, spec.minishard_bits).bitwiseAND(F.lit(signed((1 << spec.shard_bits) - 1)).cast("long"))
     return df.select(*own, at.alias(shard), h.bitwiseAND(mini).alias(minishard))
+
+
+def with_shards(df: DataFrame, group: Column, key: Column, specs: dict[int, ShardSpec]) -> DataFrame:
+    """``df`` with ``shard`` and ``minishard`` by the spec of each row's group (small numbers): one hash, whatever the number of specs."""
+    every = [specs.get(g, ShardSpec(0, 0, 0)) for g in range(max(specs) + 1)]
+    if {s.hash for s in specs.values()} == {"identity_hash"}:
+        hashed = lambda d: d.withColumn("__h", F.col("__k"))
+    elif "identity_hash" in {s.hash for s in specs.values()}:
+        raise ValueError("groups of one table have one hash")
+    else:
+        hashed = lambda d: with_low64(d, F.col("__k"), "__h")
+    of = lambda values, kind: F.element_at(F.lit(values).cast(f"array<{kind}>"), group.cast("int") + 1)
+    own = df.columns
+    df = hashed(df.withColumn("__k", F.call_function("shiftrightunsigned", key, of([s.preshift_bits for s in every], "int"))))
+    mini = F.col("__h").bitwiseAND(of([signed((1 << s.minishard_bits) - 1) for s in every], "bigint"))
+    at = F.call_function("shiftrightunsigned", F.col("__h"), of([s.minishard_bits for s in every], "int")).bitwiseAND(of([signed((1 << s.shard_bits) - 1) for s in every], "bigint"))
+    return df.select(*own, at.alias("shard"), mini.alias("minishard"))

@@ -105,6 +105,12 @@ def with_vertices(main: DataFrame | None, vertices: DataFrame, space: CoordSpace
     return grouped if main is None else main.join(grouped, id_col)
 
 
+def dropped_polylines(main: DataFrame, vertices: DataFrame, id_col: str = "annotation_id") -> DataFrame:
+    """One row: ``polylines`` of ``main`` without a vertex, ``vertex_groups`` without a polyline; ids alone are compared."""
+    ids = main.select(id_col).distinct().withColumn("__m", F.lit(True)).join(vertices.select(id_col).distinct().withColumn("__v", F.lit(True)), id_col, "full")
+    return ids.agg(F.count_if(F.col("__v").isNull()).alias("polylines"), F.count_if(F.col("__m").isNull()).alias("vertex_groups"))
+
+
 def chunk_limits(assigned: DataFrame, level: str = "level") -> DataFrame:
     """The most annotations in a cell of each level: ``level, chunks, limit``."""
     per = assigned.groupBy(level, "code").agg(F.count(F.lit(1)).alias("n"))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from annospark.operators.relationships import as_list
 from annospark.plans.model import PROPERTY_TYPES, CoordSpace, geometry_columns, property_columns
@@ -69,11 +70,11 @@ def record_packer(space: CoordSpace, kind: str, specs: Sequence[Mapping], column
         fixed = [raw[i * n : i * n + n] for i in range(b.num_rows)]
         if kind != "polyline":
             return fixed
-        out = []
-        for v, rest in zip(b.column("vertices"), fixed):
-            points = np.array([[p[a] for a in space.names] for p in v.as_py()], dtype="<f4")
-            out.append(struct.pack("<I", len(points)) + points.tobytes() + rest)
-        return out
+        v = b.column("vertices")
+        at, points = v.offsets.to_numpy().tolist(), v.values
+        raw = np.stack([points.field(a).to_numpy(zero_copy_only=False) for a in space.names], 1).astype("<f4").tobytes()
+        width = 4 * len(space.names)
+        return [struct.pack("<I", e - s) + raw[s * width : e * width] + rest for s, e, rest in zip(at, at[1:], fixed)]
 
     return pack
 
@@ -93,16 +94,45 @@ def encode_records(df: DataFrame, space: CoordSpace, kind: str, specs: Sequence[
         for b in batches:
             records = pack(b)
             for i in range(len(relationships)):
-                ids = [np.array(x.as_py(), dtype="<i8") for x in b.column(f"__r{i}")]
-                records = [r + struct.pack("<I", len(x)) + x.tobytes() for r, x in zip(records, ids)]
+                lists = b.column(f"__r{i}")
+                at, raw = lists.offsets.to_numpy().tolist(), lists.values.to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+                records = [r + struct.pack("<I", e - s) + raw[8 * s : 8 * e] for r, s, e in zip(records, at, at[1:])]
             yield pa.RecordBatch.from_arrays([*[b.column(f"__keep_{c}") for c in keep], pa.array(records, pa.binary())], [*keep, "record"])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     return src.mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in keep) + "record binary")
 
 
-def group_value(records: Sequence[bytes], ids: Sequence[int]) -> bytes:
-    return struct.pack("<Q", len(ids)) + b"".join(records) + np.array(ids, dtype="<i8").tobytes()
+def joined_runs(batches, keys: int):
+    """(key, members, their records joined, their ids joined) of successive rows with equal first ``keys`` columns; id and record follow these.
+
+    A run's records lie side by side in an Arrow batch and are taken as one
+    slice; one run is held beyond a batch.
+    """
+    at, n, records, ids = None, 0, [], []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns[:keys]]
+        edges = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1).tolist(), b.num_rows]
+        column = b.column(keys + 1)
+        kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+        offsets = np.frombuffer(column.buffers()[1], kind, b.num_rows + 1, column.offset * np.dtype(kind).itemsize).tolist()
+        data, own = memoryview(column.buffers()[2] or b""), b.column(keys).to_numpy()
+        for s, e, key in zip(edges, edges[1:], zip(*(c[edges[:-1]].tolist() for c in columns))):
+            if key != at:
+                if n:
+                    yield at, n, b"".join(records), b"".join(ids)
+                at, n, records, ids = key, 0, [], []
+            n += e - s
+            records.append(bytes(data[offsets[s] : offsets[e]]))
+            ids.append(own[s:e].astype("<i8").tobytes())
+    if n:
+        yield at, n, b"".join(records), b"".join(ids)
+
+
+def group_value(n: int, records: bytes, ids: bytes) -> bytes:
+    return struct.pack("<Q", n) + records + ids
 
 
 def unpack_group(value: bytes, record_size: int) -> tuple[list[bytes], list[int]]:
@@ -122,21 +152,8 @@ def group_frame(records: DataFrame, keys: Sequence[str], order: Sequence[str], i
     kinds = {f.name: f.dataType for f in src.schema}
 
     def run(batches):
-        key, recs, ids = None, [], []
-
-        def flush():
-            return pa.RecordBatch.from_arrays([*[pa.array([k], t) for k, t in zip(key, types)], pa.array([len(ids)], pa.int64()), pa.array([group_value(recs, ids)], pa.binary())], [*keys, "n", "value"])
-
-        for b in batches:
-            types = [b.column(k).type for k in keys]
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[: len(keys)] != key:
-                    if key is not None:
-                        yield flush()
-                    key, recs, ids = row[: len(keys)], [], []
-                recs.append(row[-1])
-                ids.append(row[-2])
-        if key is not None:
-            yield flush()
+        for key, n, recs, ids in joined_runs(batches, len(keys)):
+            yield pa.RecordBatch.from_arrays([*[pa.array([k]) for k in key], pa.array([n], pa.int64()), pa.array([group_value(n, recs, ids)], pa.binary())], [*keys, "n", "value"]).cast(schema)
 
+    schema = pa.schema([*[(k, to_arrow_type(kinds[k])) for k in keys], ("n", pa.int64()), ("value", pa.binary())])
     return src.mapInArrow(run, "".join(f"{k} {kinds[k].simpleString()}, " for k in keys) + "n long, value binary")

@@ -2,13 +2,16 @@
 
 One aggregate validates the table and gives bounds and counts.  Levels come
 from exact quotas, cells from generators; records are packed before the one
-shuffle that brings each shard's rows together.  ``info`` is written last, so
-a directory without it is an export that has not ended.
+shuffle that brings each shard's rows together.  Indexes are written to a
+directory of their own and take the place of older ones when all are there;
+``info`` comes last, so an export that fails leaves an older one as it was.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -17,12 +20,12 @@ from pyspark.sql import functions as F
 from annospark.functions.bits import unsigned, unsigned_order, unsigned_text
 from annospark.functions.shardhash import choose_spec
 from annospark.operators.bounds import Summary, summarize
-from annospark.operators.cells import assign_cells, chunk_limits, with_vertices
+from annospark.operators.cells import assign_cells, chunk_limits, dropped_polylines, with_vertices
 from annospark.operators.encode import encode_records, group_frame, needed_columns
 from annospark.operators.levels import shuffled_key, with_level
 from annospark.operators.relationships import as_list, pairs
 from annospark.plans.model import CoordSpace, Grid, geometry_columns, property_specs, quotas, record_size, spatial_grids
-from annospark.sources.shards import clear_dir, put_file, write_files, write_sharded
+from annospark.sources.shards import make_dir, put_file, remove_dir, replace_dir, write_files, write_sharded
 
 INFO_TYPE = "neuroglancer_annotations_v1"  # fixed value of the format
 
@@ -32,6 +35,10 @@ def prepare(df: DataFrame | None, space: CoordSpace, kind: str, specs: Sequence[
     if kind == "polyline":
         if polyline_points is None:
             raise ValueError("polylines need polyline_points")
+        if df is not None:
+            gone = dropped_polylines(df, polyline_points, id_col).first()
+            if gone.polylines or gone.vertex_groups:
+                warnings.warn(f"{gone.polylines} polylines have no vertices and {gone.vertex_groups} groups of vertices no polyline; they are dropped", stacklevel=3)
         df = with_vertices(df, polyline_points, space, id_col, vertex_order)
     elif df is None or polyline_points is not None:
         raise ValueError("a table, and polyline_points for polylines alone, must be given")
@@ -71,45 +78,50 @@ def export_annotations(
     size = record_size(specs, values)
     vertex_bytes = (4 + 4 * len(space.names) * F.size("vertices")) if kind == "polyline" else F.lit(0)
     tail = f"0{len(str(64))}d"
+    staged, keys = f"{output_dir.rstrip('/')}/.staged-{uuid.uuid4().hex[:12]}", []
+
+    def index(key: str) -> str:
+        keys.append(key)
+        make_dir(f"{staged}/{key}")
+        return f"{staged}/{key}"
 
     info = {"@type": INFO_TYPE, "dimensions": space.to_json(), "lower_bound": list(summary.lower), "upper_bound": list(summary.upper), "annotation_type": kind, "properties": specs, "by_id": {}, "relationships": [], "spatial": []}
 
     if write_by_id:
-        at = f"{output_dir}/by_id"
-        clear_dir(at)
+        at = index("by_id")
         rows = encode_records(df, space, kind, specs, [id_col], relationships)
         info["by_id"] = {"key": "by_id"}
         if sharded:
             extra = sum((4 + 8 * F.size(as_list(df, r)) for r in relationships), vertex_bytes)
             total = df.agg(F.sum((F.lit(size) + extra).cast("long"))).first()[0]
             spec = choose_spec(summary.count, total, summary.max_id)
-            write_sharded(rows.select(F.lit(0).cast("long").alias("grp"), F.col(id_col).alias("key"), F.col(id_col).alias("id"), "record"), {0: spec}, {0: at}, grouped=False)
+            write_sharded(rows.select(F.lit(0).cast("long").alias("grp"), F.col(id_col).alias("key"), F.col(id_col).alias("id"), "record"), {0: spec}, {0: at}, grouped=False, keys_of={0: summary.count})
             info["by_id"]["sharding"] = spec.to_json()
         else:
             write_files(rows.select(F.concat(F.lit(f"{at}/"), unsigned_text(F.col(id_col))).alias("name"), F.col("record").alias("value")))
 
     if write_by_relationship and relationships:
         own = needed_columns(df, space, kind, specs)
-        parts, spec_of, dir_of = None, {}, {}
+        parts, spec_of, dir_of, keys_of = None, {}, {}, {}
         for i, r in enumerate(relationships):
-            at = f"{output_dir}/by_rel_{r}"
-            clear_dir(at)
+            at = index(f"by_rel_{r}")
             p = pairs(df, r, *dict.fromkeys([id_col, *own])).withColumn("grp", F.lit(i).cast("long"))
             entry = {"id": r, "key": f"by_rel_{r}"}
             if sharded:
                 n, total, most = p.groupBy("segment").agg(F.sum((F.lit(size + 8) + vertex_bytes).cast("long")).alias("b")).agg(F.count(F.lit(1)), F.sum("b"), F.max(unsigned_order(F.col("segment")))).first()
                 if n:
                     spec_of[i], dir_of[i] = choose_spec(n, total + 8 * n, unsigned(most ^ -(1 << 63))), at
+                    keys_of[i] = n
                     entry["sharding"] = spec_of[i].to_json()
             info["relationships"].append(entry)
             parts = p if parts is None else parts.unionByName(p)
         rows = encode_records(parts, space, kind, specs, ["grp", "segment", id_col])
         if sharded:
             rows = rows.select("grp", F.col("segment").alias("key"), F.col(id_col).alias("id"), "record", unsigned_order(F.col(id_col)).alias("seq"))
-            write_sharded(rows, spec_of, dir_of, grouped=True, order=["seq"])
+            write_sharded(rows, spec_of, dir_of, grouped=True, order=["seq"], keys_of=keys_of)
         else:
             groups = group_frame(rows.withColumn("seq", unsigned_order(F.col(id_col))), ["grp", "segment"], ["seq"], id_col)
-            name = F.element_at(F.lit([f"{output_dir}/by_rel_{r}/" for r in relationships]), F.col("grp").cast("int") + 1)
+            name = F.element_at(F.lit([f"{staged}/by_rel_{r}/" for r in relationships]), F.col("grp").cast("int") + 1)
             write_files(groups.select(F.concat(name, unsigned_text(F.col("segment"))).alias("name"), "value"))
 
     if write_by_spatial_chunk:
@@ -121,22 +133,25 @@ def export_annotations(
         spec_of, dir_of = {}, {}
         for level in sorted(stats):
             s, key = stats[level], f"by_spatial_level_{level:{tail}}"
-            clear_dir(f"{output_dir}/{key}")
+            at = index(key)
             entry = {"key": key}
             if sharded:
-                spec_of[level], dir_of[level] = choose_spec(s.chunks, s.bytes + 8 * s.chunks, s.top), f"{output_dir}/{key}"
+                spec_of[level], dir_of[level] = choose_spec(s.chunks, s.bytes + 8 * s.chunks, s.top), at
                 entry["sharding"] = spec_of[level].to_json()
             entry |= {"chunk_size": list(grids[level].chunk), "grid_shape": list(grids[level].shape), "limit": 1 if target_chunk_limit == 0 else s.limit}
             info["spatial"].append(entry)
         if sharded:
-            write_sharded(rows.select(F.col("level").cast("long").alias("grp"), F.col("code").alias("key"), F.col(id_col).alias("id"), "record", "seq"), spec_of, dir_of, grouped=True, order=["seq", "id"])
+            write_sharded(rows.select(F.col("level").cast("long").alias("grp"), F.col("code").alias("key"), F.col(id_col).alias("id"), "record", "seq"), spec_of, dir_of, grouped=True, order=["seq", "id"], keys_of={level: s.chunks for level, s in stats.items()})
         else:
             groups = group_frame(rows, ["level", "code", *cell_cols], ["seq", id_col], id_col)
-            name = F.concat(F.lit(f"{output_dir}/by_spatial_level_"), F.lpad(F.col("level").cast("string"), len(str(64)), "0"), F.lit("/"), F.concat_ws("_", *cell_cols))
+            name = F.concat(F.lit(f"{staged}/by_spatial_level_"), F.lpad(F.col("level").cast("string"), len(str(64)), "0"), F.lit("/"), F.concat_ws("_", *cell_cols))
             write_files(groups.select(name.alias("name"), "value"))
 
     if description:
         info["description"] = description
+    for key in keys:
+        replace_dir(f"{staged}/{key}", f"{output_dir.rstrip('/')}/{key}")
+    remove_dir(staged)
     put_file(f"{output_dir}/info", json.dumps(info).encode())
     return info
 

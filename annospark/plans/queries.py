@@ -431,12 +431,16 @@ def group_bytes(spark, d):
 
 
 def _scratch(spark) -> str:
-    """A fresh folder that executors share: under spark.checkpoint.dir, else a temporary one."""
+    """A fresh folder that executors share: under spark.checkpoint.dir, else, in local mode alone, a temporary one."""
     import tempfile
     import uuid
 
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{at.rstrip('/')}/annospark-export-{uuid.uuid4().hex[:12]}" if at else tempfile.mkdtemp(prefix="annospark-export-")
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if at:
+        return f"{at.rstrip('/')}/annospark-export-{uuid.uuid4().hex[:12]}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="annospark-export-")
 
 
 @query("SELECT o_orderkey AS key, 24 AS bytes FROM orders")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import socket
 from functools import partial
 from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
 
@@ -74,3 +75,13 @@ class CorsHandler(SimpleHTTPRequestHandler):
 def serve(directory: str, port: int = 9000, bind: str = "127.0.0.1") -> ThreadingHTTPServer:
     """A server; call ``serve_forever`` on it, in a thread if need be."""
     return ThreadingHTTPServer((bind, port), partial(CorsHandler, directory=directory))
+
+
+def local_address() -> str:
+    """The address by which this machine reaches others (no packet is sent); the loopback one without a network."""
+    try:
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+            s.connect(("192.0.2.1", 9))
+            return s.getsockname()[0]
+    except OSError:
+        return "127.0.0.1"

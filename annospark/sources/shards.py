@@ -6,8 +6,8 @@ uint64[3][n]: keys as differences, starts as differences from the end of the
 value before, sizes.  Values and indexes may be gzip files.
 
 Tasks write to a name of their own attempt and move the file into place, so a
-repeated or speculative task does no harm; rows of a manifest say what was
-written, and the driver compares them with the shards that keys predict.
+repeated or speculative task does no harm; what was written is counted by
+group and compared with the number of keys that the caller expects.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annospark.functions.bits import unsigned, unsigned_order
-from annospark.functions.shardhash import ShardSpec, with_shard
-from annospark.operators.encode import group_value
+from annospark.functions.shardhash import ShardSpec, with_shards
+from annospark.operators.encode import group_value, joined_runs
 
 
 def file_system(path: str):
@@ -50,10 +50,28 @@ def get_file(path: str) -> bytes:
         return f.read()
 
 
-def clear_dir(path: str) -> None:
+def make_dir(path: str) -> None:
     fs, p = file_system(path)
     fs.create_dir(p, recursive=True)
-    fs.delete_dir_contents(p)
+
+
+def replace_dir(staged: str, path: str) -> None:
+    """Puts a staged directory in the place of another: by a rename, or by copies where a store has none."""
+    fs, p = file_system(path)
+    s = file_system(staged)[1]
+    if fs.get_file_info(p).type != pyarrow.fs.FileType.NotFound:
+        fs.delete_dir(p)
+    try:
+        fs.move(s, p)
+    except (OSError, NotImplementedError):
+        pyarrow.fs.copy_files(s, p, source_filesystem=fs, destination_filesystem=fs)
+        fs.delete_dir(s)
+
+
+def remove_dir(path: str) -> None:
+    fs, p = file_system(path)
+    if fs.get_file_info(p).type != pyarrow.fs.FileType.NotFound:
+        fs.delete_dir(p)
 
 
 def pack_shard(entries: Sequence[tuple[int, int, bytes]], spec: ShardSpec) -> bytes:
@@ -97,57 +115,46 @@ def unpack_shard(data: bytes, spec: ShardSpec) -> dict[int, bytes]:
 MANIFEST = "grp long, shard long, entries long, bytes long, largest long"
 
 
-def write_sharded(rows: DataFrame, spec_of: dict[int, ShardSpec], dir_of: dict[int, str], grouped: bool, order: Sequence[str] = ()) -> list:
-    """Writes shards of ``grp, key, [order], id, record`` rows and returns the manifest.
+def write_sharded(rows: DataFrame, spec_of: dict[int, ShardSpec], dir_of: dict[int, str], grouped: bool, order: Sequence[str] = (), keys_of: dict[int, int] | None = None) -> list:
+    """Writes shards of ``grp, key, [order], id, record`` rows; returns shards, entries, bytes and the largest value of each ``grp``.
 
-    ``grp`` tells the levels or relationships apart, so all go in one job with
+    ``grp`` tells the levels or relationships apart, so all go in one pass with
     one shuffle by (grp, shard).  grouped: rows of one key make one value; else
     a record is a value.  One shard (about 50 MB) is in memory at a time.
+    ``keys_of`` says how many keys each group has; what is written must agree.
     """
-    placed = None
-    for g, spec in spec_of.items():
-        part = with_shard(rows.where(F.col("grp") == g), F.col("key"), spec)
-        placed = part if placed is None else placed.unionByName(part)
-    if placed is None:
+    if not spec_of:
         return []
-    shards = sum(1 << s.shard_bits for s in spec_of.values())
-    n = max(1, min(shards, 20_000))
+    n = max(1, min(sum(1 << s.shard_bits for s in spec_of.values()), 20_000))
+    placed = with_shards(rows, F.col("grp"), F.col("key"), spec_of)
     src = placed.repartition(n, "grp", "shard").sortWithinPartitions("grp", "shard", "minishard", unsigned_order(F.col("key")), *order).select("grp", "shard", "minishard", "key", "id", "record")
 
     def run(batches):
-        at, entries, key, recs, ids = None, [], None, [], []
+        at, entries = None, []
 
-        def close_key():
-            if key is not None:
-                entries.append((key[0], unsigned(key[1]), group_value(recs, ids) if grouped else recs[-1]))
-
-        def close_shard():
+        def close():
             g, shard = at
             data = pack_shard(entries, spec_of[g])
             put_file(f"{dir_of[g]}/{spec_of[g].file_name(shard)}", data)
             return pa.RecordBatch.from_pydict({"grp": [g], "shard": [shard], "entries": [len(entries)], "bytes": [len(data)], "largest": [max(len(v) for *_, v in entries)]})
 
-        for b in batches:
-            for g, shard, mini, k, i, record in zip(*(c.to_pylist() for c in b.columns)):
-                if (g, shard) != at:
-                    if at is not None:
-                        close_key()
-                        yield close_shard()
-                    at, entries, key, recs, ids = (g, shard), [], None, [], []
-                if (mini, k) != key:
-                    close_key()
-                    key, recs, ids = (mini, k), [], []
-                recs.append(record)
-                ids.append(i)
+        for (g, shard, mini, key), members, records, ids in joined_runs(batches, 4):
+            if (g, shard) != at:
+                if at is not None:
+                    yield close()
+                at, entries = (g, shard), []
+            if members > 1 and not grouped:
+                raise ValueError(f"key {unsigned(key)} is repeated")
+            entries.append((mini, unsigned(key), group_value(members, records, ids) if grouped else records))
         if at is not None:
-            close_key()
-            yield close_shard()
-
-    manifest = src.mapInArrow(run, MANIFEST).collect()  # a row a shard
-    predicted = {tuple(r) for r in placed.select("grp", "shard").distinct().collect()}
-    if {(r.grp, r.shard) for r in manifest} != predicted:
-        raise RuntimeError("the shards on disk are not those that the keys predict")
-    return manifest
+            yield close()
+
+    written = src.mapInArrow(run, MANIFEST).groupBy("grp").agg(F.count(F.lit(1)).alias("shards"), F.sum("entries").alias("entries"), F.sum("bytes").alias("bytes"), F.max("largest").alias("largest")).collect()
+    for g, n in (keys_of or {}).items():
+        got = next((r for r in written if r.grp == g), None)
+        if (got.entries if got else 0) != n:
+            raise RuntimeError(f"group {g} has {n} keys, of which {got.entries if got else 0} were written")
+    return written
 
 
 def write_files(values: DataFrame, name: str = "name", value: str = "value") -> int:

@@ -9,6 +9,7 @@ index (a range index counts on from its start), else the position.
 from __future__ import annotations
 
 import json
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.feather
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from annospark.functions.bits import from_decimal
 
 ID = "annotation_id"
+#: Files of a table whose offsets are broadcast; of more they are joined.
+MOST_FILES = 100_000
 
 
 def _plain(column: pa.ChunkedArray) -> tuple[pa.ChunkedArray, dict]:
@@ -60,13 +63,25 @@ def from_feather(spark: SparkSession, path: str, id_col: str | None = None) -> D
     return from_arrow(spark, pyarrow.feather.read_table(path, memory_map=True), id_col)
 
 
+def _with_positions(df: DataFrame) -> DataFrame:
+    """Counts rows a file (footers alone are read), and adds to each row's index what the files before have."""
+    counts = sorted((r[0], r[1]) for r in df.groupBy(F.col("_metadata.file_path").alias("f")).count().collect())  # as many as the driver has listed
+    names, starts = [f for f, _ in counts], [0, *accumulate(n for _, n in counts)]
+    if len(names) < 2:
+        return df.withColumn(ID, F.col("_metadata.row_index"))
+    offsets = df.sparkSession.createDataFrame(list(zip(names, starts)), "__file string, __start long")
+    at = df.withColumns({"__path": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+    joined = at.join(F.broadcast(offsets) if len(names) <= MOST_FILES else offsets, F.col("__path") == F.col("__file"))
+    return joined.withColumn(ID, F.col("__start") + F.col("__row")).drop("__path", "__row", "__file", "__start")
+
+
 def from_parquet(spark: SparkSession, path: str, id_col: str | None = None) -> DataFrame:
-    """The native path: lazy, split by Spark.  Without an id column, the row's index in its file (one file only)."""
+    """The native path: lazy, split by Spark.  Without an id column, the row's position in the table, whose files come in order of their paths."""
     df = spark.read.parquet(path)
     if id_col or ID in df.columns:
         df = df.withColumnRenamed(id_col or ID, ID)
     else:
-        df = df.withColumn(ID, F.col("_metadata.row_index"))
+        df = _with_positions(df)
     return df.select(*[from_decimal(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "decimal(20,0)" else F.col(f.name).cast("long").alias(f.name) if f.name == ID else F.col(f.name) for f in df.schema])
 
 

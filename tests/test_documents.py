@@ -91,3 +91,41 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.layer, r.n) for r in spark.table("counts").collect()) == [("a", 2), ("a", 4), ("b", 1), ("b", 2)]
+
+
+def test_color_shader(spark):
+    """The shader's arithmetic, done here, gives the engine's colours."""
+    from annospark.functions.colors import K1, K2, STEP, color_shader, with_color
+    from pyspark.sql import functions as F
+
+    text, m = color_shader(3), (1 << 32) - 1
+    assert all(f"{k:#x}u" in text for k in (K1, K2, STEP)) and "default=3" in text and text.count("{") == text.count("}")
+
+    def stirred(state, word):
+        word = word * K1 & m
+        state ^= ((word << 15 | word >> 17) & m) * K2 & m
+        return ((state << 13 | state >> 19) & m) * 5 + STEP & m
+
+    ids = [0, 1, 77, 12345, 4294967295]
+    got = {r.s: r.color for r in with_color(spark.createDataFrame([(i,) for i in ids], "s long"), F.col("s"), seed=3).collect()}
+    for i in ids:
+        h = stirred(stirred(3, i), 0)
+        hue, sat = 6 * (h & 255) / 255, 0.5 + 0.5 * (h >> 8 & 255) / 255
+        pure = [min(1, max(0, abs((hue + k) % 6 - 3) - 1)) for k in (0, 4, 2)]
+        want = [255 * (1 - sat + sat * p) for p in pure]
+        assert all(abs(int(got[i][1 + 2 * k : 3 + 2 * k], 16) - w) <= 0.51 for k, w in enumerate(want))
+
+
+def test_local_address():
+    assert publish.local_address().count(".") == 3
+
+
+def test_link_columns(spark):
+    from pyspark.sql import functions as F
+
+    states = [json.dumps(STATE), '{"layers": [{"name": "a b/~*+é%", "type": "x"}]}', None]
+    df = spark.createDataFrame([(s,) for s in states], "s string").select("s", links.encoded("https://v", F.col("s")).alias("l"))
+    for r in df.select("s", "l", links.decoded(F.col("l")).alias("back"), F.size(links.layer_array(F.col("s"))).alias("n")).collect():
+        assert r.back == r.s and (r.s is None or links.parse_link(r.l) == json.loads(r.s) and r.l == links.encode_link("https://v", json.loads(r.s)) or not json.dumps(json.loads(r.s)) == r.s)
+    with pytest.raises(Exception, match="layers match"):
+        df.select(links.one_layer(F.col("s"), "[ab]").alias("x")).collect()

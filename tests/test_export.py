@@ -143,3 +143,33 @@ def test_errors(spark, tmp_path):
         with pytest.raises(Exception, match="none of its labels|outside uint8"):
             export_annotations(df, "xy", "point", p, output_dir=str(tmp_path))
     assert CoordSpace.of("xy").names == ("x", "y")
+
+
+def test_failed_export_leaves_the_old_one(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1.0, 2.0, "a"), (2, 3.0, 4.0, "b")], "annotation_id long, x double, y double, kind string")
+    at = str(tmp_path / "out")
+    info = export_annotations(df, "xy", "point", [{"id": "kind", "enum_labels": ["a", "b"]}], output_dir=at)
+    with pytest.raises(Exception, match="none of its labels"):
+        export_annotations(df, "xy", "point", [{"id": "kind", "enum_labels": ["a"]}], output_dir=at)
+    assert json.loads(get_file(f"{at}/info")) == json.loads(json.dumps(info)) and len(index(spark, info, at, info["by_id"])) == 2
+    again = export_annotations(df.where("annotation_id = 2"), "xy", "point", output_dir=at, sharded=False)
+    assert list(index(spark, again, at, again["by_id"])) == ["2"]
+
+
+def test_dropped_polylines_are_told(spark, tmp_path):
+    v = spark.createDataFrame([(1, 0, 0.0, 1.0), (1, 1, 2.0, 3.0), (9, 0, 5.0, 5.0)], "annotation_id long, vertex int, x double, y double")
+    main = spark.createDataFrame([(1, [7, 8]), (4, None)], "annotation_id long, near array<long>")
+    with pytest.warns(UserWarning, match="1 polylines have no vertices and 1 groups"):
+        info = export_annotations(main, "xy", "polyline", relationships=["near"], output_dir=str(tmp_path), polyline_points=v)
+    assert struct.unpack("<I4fI2Q", index(spark, info, str(tmp_path), info["by_id"])[1]) == (2, 0, 1, 2, 3, 2, 7, 8)
+
+
+def test_shards_of_groups(spark):
+    from annospark.functions.shardhash import with_shards
+    from pyspark.sql import functions as F
+
+    specs = {0: ShardSpec(2, 3, 1), 2: ShardSpec(0, 5, 4)}
+    keys = [0, 1, 77, 2**63 + 5, 2**64 - 1]
+    df = spark.createDataFrame([(g, signed(k)) for g in specs for k in keys], "grp long, key long")
+    got = {(r.grp, unsigned(r.key)): (r.shard, r.minishard) for r in with_shards(df, F.col("grp"), F.col("key"), specs).collect()}
+    assert got == {(g, k): s.place(k) for g, s in specs.items() for k in keys}

@@ -2,6 +2,7 @@
 
 import compare
 import pytest
+from annospark.plans import file_queries  # noqa: F401
 from annospark.plans.queries import QUERIES, SQL
 
 

@@ -3,38 +3,39 @@ from annospark.operators import segprops
 from annospark.operators.segprops import segment_properties, segment_table
 from annospark.operators.select import compile_expression, select_properties, template_names, with_expressions
 
+#: Plots of a wood: id, name, zone, soil, irrigated, young and grown trees.
 ROWS = [
-    (910719, "IN13B018", "intrinsic_neuron", "13B", True, 786, 3164), (160503, "PFNm/p", "central", "DM3_CX_p", True, 40, 177), (908822, "IN03B079", "intrinsic_neuron", "03B", True, 176, 951),
-    (10552, "DNp29", "descending_neuron", "putative_primary", True, 1567, 4559), (43797, "MeVP11", "visual_projection", None, True, 158, 504), (232845, "R1-R6", "sensory", None, False, 25, 18),
-    (547654, "R1-R6", "sensory", None, False, 57, 29), (803197, "IN07B019", "intrinsic_neuron", "TBD", True, 796, 3615), (75597, "KCg-m", "central", "MBp4", True, 223, 802), (165485, "vDeltaK", "central", None, True, 36, 282),
+    (31, "oak-1", "valley", "loam", True, 12, 40), (7, "oak-2", "ridge", "chalk", False, 705, 90), (52, "elm", "valley", None, True, 3, 801), (18, "birch", "marsh", "peat bog", True, 260, 1200),
+    (44, "oak-3", "valley", "chalk", False, 99, 15), (5, "alder", "marsh", None, False, 840, 2), (90, "yew", "ridge", "loam", True, 101, 800), (63, "lime", "valley", "peat bog", True, 700, 799),
 ]
 
 
 @pytest.fixture(scope="module")
-def neurons(spark):
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(ROWS)], "pos int, segment long, type string, class string, hemilineage string, has_soma boolean, PreSyn long, PostSyn long")
+def plots(spark):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(ROWS)], "pos int, segment long, plot string, zone string, soil string, irrigated boolean, young long, grown long")
 
 
 @pytest.fixture(scope="module")
-def info(neurons):
-    return segment_properties(neurons, "type", tags=["class", "hemilineage", "has_soma"], sort_tags=True, order_col="pos", tag_descriptions={"central": "in the centre"}, col_descriptions={"type": "t"})
+def info(plots):
+    return segment_properties(plots, "plot", tags=["zone", "soil", "irrigated"], sort_tags=True, order_col="pos", tag_descriptions={"marsh": "wet ground"}, col_descriptions={"plot": "t"})
 
 
 def test_document(info):
     p = {x["id"]: x for x in info["inline"]["properties"]}
     assert info["inline"]["ids"] == [str(r[0]) for r in ROWS]
-    assert list(p) == ["type", "PreSyn", "PostSyn", "tags"] and p["type"]["type"] == "label" and p["type"]["description"] == "t"
-    assert p["PreSyn"]["data_type"] == "int32" and p["PreSyn"]["values"] == [r[5] for r in ROWS]
-    assert p["tags"]["tags"] == ["class:central", "class:descending_neuron", "class:intrinsic_neuron", "class:sensory", "class:visual_projection", "has_soma", "hemilineage:03B", "hemilineage:13B", "hemilineage:DM3_CX_p", "hemilineage:MBp4", "hemilineage:TBD", "hemilineage:putative_primary"]
-    assert p["tags"]["values"] == [[2, 5, 7], [0, 5, 8], [2, 5, 6], [1, 5, 11], [4, 5], [3], [3], [2, 5, 10], [0, 5, 9], [0, 5]]
-    assert p["tags"]["tag_descriptions"][0] == "in the centre" and p["tags"]["tag_descriptions"][5] == "has_soma"
+    assert list(p) == ["plot", "young", "grown", "tags"] and p["plot"]["type"] == "label" and p["plot"]["description"] == "t"
+    assert p["young"]["data_type"] == "int32" and p["young"]["values"] == [r[5] for r in ROWS]
+    assert p["tags"]["tags"] == ["irrigated", "soil:chalk", "soil:loam", "soil:peat_bog", "zone:marsh", "zone:ridge", "zone:valley"]
+    assert p["tags"]["values"] == [[0, 2, 6], [1, 5], [0, 6], [0, 3, 4], [1, 6], [4], [0, 2, 5], [0, 3, 6]]
+    assert p["tags"]["tag_descriptions"] == ["irrigated", "soil:chalk", "soil:loam", "soil:peat_bog", "wet ground", "zone:ridge", "zone:valley"]
 
 
 def test_round_trip(spark, info):
     t = segment_table(spark, info)
-    assert [(r.segment, r.type, r["class"], r.hemilineage, r.has_soma, r.PreSyn, r.PostSyn) for r in t.collect()] == [(*r[:4], "has_soma" if r[4] else None, *r[5:]) for r in ROWS]
+    tag = lambda x: x and x.replace(" ", "_")
+    assert [(r.segment, r.plot, r.zone, r.soil, r.irrigated, r.young, r.grown) for r in t.collect()] == [(*r[:3], tag(r[3]), "irrigated" if r[4] else None, *r[5:]) for r in ROWS]
     flags = segment_table(spark, info, consolidate=False)
-    assert flags.where("`class:central`").count() == 3
+    assert flags.where("`zone:ridge`").count() == 2
 
 
 def test_rules(spark):
@@ -61,11 +62,11 @@ def test_number_types(spark):
 
 def test_expressions(spark, info):
     full = segment_table(spark, info)
-    new = with_expressions(full, {"label": "{type}_{hemilineage}", "big": "PreSyn > 100 and PostSyn >= 800", "sum": "PreSyn + PostSyn", "twice": "sum * 2", "kind": "`class`".strip("`"), "pick": "type in ('R1-R6', 'KCg-m') or not (PreSyn < 700)"}, ["segment"]).collect()
-    assert [r.label for r in new] == [f"{r[1]}_{r[3] or ''}".strip() for r in ROWS]
-    assert [r.big for r in new] == [r[5] > 100 and r[6] >= 800 for r in ROWS]
+    new = with_expressions(full, {"label": "{plot}_{soil}", "big": "young > 100 and grown >= 800", "sum": "young + grown", "twice": "sum * 2", "kind": "zone", "pick": "plot in ('elm', 'lime') or not (young < 700)"}, ["segment"]).collect()
+    assert [r.label for r in new] == [f"{r[1]}_{(r[3] or '').replace(' ', '_')}".strip() for r in ROWS]
+    assert [r.big for r in new] == [False, False, False, True, False, False, True, False]
     assert [r.twice for r in new] == [2 * (r[5] + r[6]) for r in ROWS] and [r.kind for r in new] == [r[2] for r in ROWS]
-    assert [r.pick for r in new] == [r[1] in ("R1-R6", "KCg-m") or r[5] >= 700 for r in ROWS]
+    assert [r.pick for r in new] == [False, True, True, False, False, True, False, True]
     df = spark.createDataFrame([(1, "~", ""), (2, "a", "~")], "segment long, u string, v string")
     got = with_expressions(df, {"label": "{u}{v}", "copy": "u", "same": "u == ''"}, ["segment"]).collect()
     assert [(r.label, r.copy, r.same) for r in got] == [("~", "~", True), ("a", "a", False)]
@@ -78,11 +79,11 @@ def test_expressions(spark, info):
 
 
 def test_select(spark, info):
-    subset = ["_all_tags", "PreSyn"]
-    out = select_properties(spark, info, subset, {"label": "{type}!"}, {"heavy": "PreSyn > 700"})
-    assert subset == ["_all_tags", "PreSyn"]
+    subset = ["_all_tags", "young"]
+    out = select_properties(spark, info, subset, {"label": "{plot}!"}, {"heavy": "young > 700"})
+    assert subset == ["_all_tags", "young"]
     p = {x["id"]: x for x in out["inline"]["properties"]}
-    assert p["label"]["values"][0] == "IN13B018!" and p["PreSyn"]["values"][0] == 786 and "PostSyn" not in p
-    assert "heavy" in p["tags"]["tags"] and "class:central" in p["tags"]["tags"]
+    assert p["label"]["values"][0] == "oak-1!" and p["young"]["values"][0] == 12 and "grown" not in p
+    assert "heavy" in p["tags"]["tags"] and "zone:marsh" in p["tags"]["tags"]
     with pytest.raises(ValueError):
         select_properties(spark, info, ["nope"])
