@@ -9,6 +9,7 @@ its key with a few constants, with no shuffle of the table.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from itertools import accumulate
 
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from annospark.functions.bits import unsigned_order
 
 
+#: Rows of a range that one task ranks; a key with more is cut by its ids.
+MOST_RANKED = 100_000
+
+
 def shuffled_key(id_col: str = "annotation_id", seed: int = 0) -> Column:
     return F.xxhash64(F.col(id_col), F.lit(seed))
 
@@ -31,8 +36,9 @@ def level_cuts(df: DataFrame, key: Column, sizes: Sequence[int], id_col: str = "
     if not wanted:
         return []
     rows = df.select(key.cast("long").alias("k"), unsigned_order(F.col(id_col)).alias("o"))
-    bounds = rows.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 4 * ranges).alias("b")).first().b
-    bounds = sorted(set(bounds))
+    got = rows.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 4 * ranges).alias("b")).first().b
+    tied = {k for k, n in Counter(got).items() if n > 1 and k < (1 << 63) - 1}  # keys of more rows than a range: each is a range of its own
+    bounds = sorted({*got, *(k + 1 for k in tied)})
     step = 64
     runs = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     below = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("k")))
@@ -45,11 +51,20 @@ def level_cuts(df: DataFrame, key: Column, sizes: Sequence[int], id_col: str = "
         sums[r["at"]] = (before, before + r["count"])
         before += r["count"]
     place = {i: next((a, end - s) for a, (s, e) in sums.items() if s < end <= e) for i, end in wanted.items()}
+    found, tied_at = {}, {}
+    for i, (a, r) in list(place.items()):
+        k, n = bounds[a - 1] if a else None, sums[a][1] - sums[a][0]
+        if k in tied and n > MOST_RANKED:  # ids tell its rows apart, and are found in ranges as keys are
+            ids = rows.where(F.col("k") == k).select("o")
+            found[place.pop(i)] = (k, level_cuts(ids, F.col("o"), [r, n - r], "o", ranges)[0][1] if r < n else ids.agg(F.max("o")).first()[0])
+            tied_at[i] = (a, r)
     ranked = rows.where(F.col("at").isin(sorted({a for a, _ in place.values()}))).withColumn("r", F.row_number().over(W.partitionBy("at").orderBy("k", "o")))
     hit = F.lit(False)
     for a, r in place.values():
         hit = hit | ((F.col("at") == a) & (F.col("r") == r))
-    found = {(r["at"], r["r"]): (r["k"], r["o"]) for r in ranked.where(hit).collect()}
+    if place:
+        found |= {(r["at"], r["r"]): (r["k"], r["o"]) for r in ranked.where(hit).collect()}
+    place |= tied_at
     return [(i, *found[place[i]]) for i in sorted(place)]
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from annospark.operators import levels
 from annospark.operators.bounds import summarize
 from annospark.operators.cells import assign_cells, collect_vertices, with_vertices
 from annospark.operators.levels import shuffled_key, with_level
@@ -121,3 +122,18 @@ def test_coordinate_spaces():
     for bad in ("xX", "xx", ["X"], 5, {"names": "xy", "colour": 1}):
         with pytest.raises(ValueError):
             CoordSpace.of(bad)
+
+
+@pytest.mark.parametrize("most", [10, 100_000])
+def test_levels_of_tied_keys(spark, monkeypatch, most):
+    """Keys that most rows share are cut by the ids of their rows."""
+    monkeypatch.setattr(levels, "MOST_RANKED", most)
+    df = spark.range(3000).selectExpr("id * 7919 % 3001 annotation_id", "if(id % 10 = 0, id, if(id % 2 = 0, 5, 700)) k").withColumn("k", F.col("k").cast("long"))
+    rows = sorted((r.k, r.annotation_id) for r in df.collect())
+    sizes = [100, 0, 900, 1, 1999]
+    want, at = {}, 0
+    for level, n in enumerate(sizes):
+        want |= {i: level for _, i in rows[at : at + n]}
+        at += n
+    got = levels.with_level(df, sizes, F.col("k"))
+    assert {r.annotation_id: r.level for r in got.collect()} == want
