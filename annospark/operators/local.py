@@ -67,6 +67,7 @@ def standardize(df: DataFrame) -> DataFrame:
     return df.withColumn("type", kind).withColumn("id", id_)
 
 
+#: The viewer's shader functions, and the arguments at which a layer looks as it does by default.
 SHADER_PARTS = {
     "point": ("Points", ["setPointMarkerSize({size})", "setPointMarkerColor(vec4(defaultColor(), 1.0))", "setPointMarkerBorderWidth(1.0)", "setPointMarkerBorderColor(defaultColor())"]),
     "line": ("Lines", ["setLineColor(defaultColor())", "setEndpointMarkerSize({size}, {size})", "setEndpointMarkerColor(defaultColor(), defaultColor())", "setEndpointMarkerBorderWidth(1.0, 1.0)", "setEndpointMarkerBorderColor(defaultColor(), defaultColor())"]),
