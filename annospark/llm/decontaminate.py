@@ -7,9 +7,10 @@ in the benchmark's; each hit is extended over every window of words around it
 and confirmed word by word.  Items of fewer words than a window are one
 window of their own length, looked up at every place.
 
-The benchmark is the small side: it is read in blocks of at most
-``BLOCK_BYTES`` of text, each broadcast; a larger one takes more blocks, all
-documents pass each, and hits accumulate, so nothing is left out at any size.
+A benchmark of at most ``BLOCK_BYTES`` is broadcast, and documents are
+read once.  A larger one is never broadcast nor brought to the driver: both
+sides' fingerprints are joined by ranges of hashes
+(:mod:`annospark.llm.overlap_join`), with the same results.
 
 Rows: a null text has no words; items without words occur nowhere; null item
 ids are not reported but their words are hit; repeated items count once by
@@ -19,25 +20,16 @@ empty tables give empty or clean results; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annospark.llm.common import gram_hashes, slices, winnow
+from annospark.llm.overlap_join import joined, member, merged, words_of
 
-#: Bound on the benchmark text that is broadcast at once.
-BLOCK_BYTES = 32 << 20
-#: A-Z in lower case; every byte outside a-z, 0-9 and non-ASCII becomes a space.
-WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-#: The same rule for texts of which places are needed.
-WORD_RE = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(WORDS).split()
+#: Bound on a benchmark that is broadcast: texts, ids, and ``ITEM_BYTES`` for each item.
+BLOCK_BYTES, ITEM_BYTES = 32 << 20, 64
 
 
 class BenchmarkIndex:
@@ -95,29 +87,12 @@ class BenchmarkIndex:
                     yield int(starts[i]), n, items_of[at[i]]
 
 
-def member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), dtype=bool)
-    at = np.searchsorted(sorted_values, x)
-    at[at == len(sorted_values)] = 0
-    return sorted_values[at] == x
-
-
 def gram_hashes_rows(rows: np.ndarray) -> np.ndarray:
     """gram_hashes of each row as one gram."""
     n = rows.shape[1]
     return gram_hashes(np.ascontiguousarray(rows).astype(np.uint64).ravel(), n)[::n] if len(rows) else np.empty(0, np.uint64)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    b = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    n = max(1, -(-size // block_bytes))
-    for i in range(n):
-        rows = b if n == 1 else b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
-        yield [(r.item, r.text) for r in rows.toLocalIterator()]
-
-
 _indexes: dict[tuple, BenchmarkIndex] = {}
 
 
@@ -130,42 +105,48 @@ def _index(block, window: int, gram: int) -> BenchmarkIndex:
     return _indexes[key]
 
 
+def _looking_up(block, window: int, gram: int):
+    """Arrow batches of id, text and more to batches of id, n_words, spans, items and more."""
+    kinds = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string())
+
+    def run(batches):
+        index = _index(block, window, gram)
+        number = index.numbers.get
+        gap = [-1] * window
+        for b in batches:
+            n_words, spans, items = [], [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
+            for first, texts in slices(b, 1):
+                ids, ends = [], []
+                for text in texts:
+                    ws = words_of(text)
+                    ids += [number(w, -1) for w in ws]
+                    n_words.append(len(ws))
+                    ends.append(len(ids))
+                    ids += gap  # no window crosses from one document to the next
+                found: dict[int, list] = {}
+                for start, n, of in index.occurrences(np.array(ids, dtype=np.int64)):
+                    d = int(np.searchsorted(ends, start, side="right"))
+                    found.setdefault(d, []).append((start - (ends[d - 1] + window if d else 0), n, of))
+                for d, hits in found.items():
+                    spans[first + d] = merged([(s, s + n) for s, n, _ in hits])
+                    items[first + d] = sorted({x for *_, of in hits for x in of if x is not None})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1]), *b.columns[2:]], ["id", "n_words", "spans", "items", *b.schema.names[2:]])
+
+    return run
+
+
 def find_overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col, n_words, spans, items`` and the columns in ``keep``, as ``keep_0``, ``keep_1`` ...: spans are hit word ranges [start, end), merged; items are sorted ids as text."""
-    sc = documents.sparkSession.sparkContext
-    out = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-    kept = "".join(f", keep_{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    schema = f"id {out.schema['id'].dataType.simpleString()}, text string, n_words long, spans array<struct<s:bigint,e:bigint>>, items array<string>{kept}"
-    kinds = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string())
-    blocks = list(map(sc.broadcast, _blocks(benchmark, item_col, item_text_col, block_bytes)))
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-
-        def step(batches, block=block, last=last):
-            index = _index(block, window, gram)
-            number = index.numbers.get
-            gap = [-1] * window
-            for b in batches:
-                n_words, spans, items = [], b.column(3).to_pylist(), b.column(4).to_pylist()
-                for first, texts in slices(b, 1):
-                    ids, ends = [], []
-                    for text in texts:
-                        ws = words_of(text)
-                        ids += [number(w, -1) for w in ws]
-                        n_words.append(len(ws))
-                        ends.append(len(ids))
-                        ids += gap  # no window crosses from one document to the next
-                    found: dict[int, list] = {}
-                    for start, n, of in index.occurrences(np.array(ids, dtype=np.int64)):
-                        d = int(np.searchsorted(ends, start, side="right"))
-                        found.setdefault(d, []).append((start - (ends[d - 1] + window if d else 0), n, of))
-                    for d, hits in found.items():
-                        row = first + d
-                        spans[row] = merged([*((x["s"], x["e"]) for x in spans[row]), *((s, s + n) for s, n, _ in hits)])
-                        items[row] = sorted({*items[row], *(x for *_, of in hits for x in of if x is not None)})
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(b.num_rows, pa.string()) if last else b.column(1), pa.array(n_words, pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1]), *b.columns[5:]], b.schema.names)
-
-        out = out.mapInArrow(step, schema)
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    b = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+    size = b.agg(F.coalesce(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)) + ITEM_BYTES), F.lit(0)).alias("n")).first().n
+    if size > block_bytes:
+        out = joined(docs, b, window, gram)
+    else:
+        block = documents.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in b.collect()])
+        kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+        kept = "".join(f", keep_{i} {kinds[f'keep_{i}']}" for i in range(len(keep)))
+        out = docs.mapInArrow(_looking_up(block, window, gram), f"id {kinds['id']}, n_words long, spans array<struct<s:bigint,e:bigint>>, items array<string>{kept}")
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items", *[f"keep_{i}" for i in range(len(keep))])
 
 
@@ -173,13 +154,3 @@ def without_overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "
     """All rows and columns of ``documents`` but the rows with a hit span; each row goes by its own text."""
     found = find_overlaps(documents, benchmark, id_col, keep=tuple(documents.columns), **how)
     return found.where(F.size("spans") == 0).select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(documents.columns)])
-
-
-def merged(spans: list[tuple[int, int]]) -> list[dict]:
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [{"s": s, "e": e} for s, e in out]

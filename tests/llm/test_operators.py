@@ -442,11 +442,36 @@ def test_op10(spark, data, docs, edge):
     assert sorted(map(tuple, run(spark, "op10", edge).collect()), key=key) == sorted(brute.overlaps(EDGE, items), key=key)
 
 
-def test_op10_in_blocks(spark, data):
-    """A benchmark larger than one broadcast gives the same."""
-    d, b = queries.documents(spark, data), spark.read.parquet(f"{data}/benchmark.parquet")
-    whole, parts = (sorted(map(str, decontaminate.find_overlaps(d, b, block_bytes=n).collect())) for n in (1 << 20, 2000))
-    assert whole == parts
+def test_op10_joined(spark, data, edge, monkeypatch):
+    """A benchmark larger than a broadcast may be, joined by ranges, gives the same, with many small chunks too."""
+    from annospark.llm import overlap_join
+
+    def found(at, **how):
+        return sorted(map(str, decontaminate.find_overlaps(queries.documents(spark, at), spark.read.parquet(f"{at}/benchmark.parquet"), **how).collect()))
+
+    assert found(data) == found(data, block_bytes=2000)
+    assert found(edge) == found(edge, block_bytes=0)
+    assert found(f"{edge}/empty") == found(f"{edge}/empty", block_bytes=-1) == []
+    monkeypatch.setattr(overlap_join, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(overlap_join, "RANGE_BYTES", 5000)
+    assert found(data) == found(data, block_bytes=2000)
+
+
+def test_op10_joined_against_brute_force(spark):
+    """Few words, so that windows are dense; items of all lengths, repeated, without an id, and one window in all of them."""
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choices(["Ab", "b", "cé", "9"], k=n))
+    common = say(10)
+    items = [(None if k % 7 == 0 else f"i{k % 40}", f"{say(r.randint(0, 25))}, {common}" if k % 2 else say(r.randint(0, 14))) for k in range(60)]
+    rows = [(k % 50 if k % 9 else None, None if k % 11 == 0 else f"{say(r.randint(0, 60))} zz {common if k % 3 else say(10)}") for k in range(90)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = decontaminate.find_overlaps(docs, bench, block_bytes=0).collect()
+    digest = lambda x: brute.sha(",".join(x))
+    have = sorted((str(x.doc_id), x.n_words, sum(y.e - y.s for y in x.spans), len(x.items), digest(x.items), bool(x.spans)) for x in got)
+    assert have == sorted((str(x[0]), *x[1:]) for x in brute.overlaps(rows, items))
+    left = decontaminate.without_overlaps(docs.withColumn("digest", F.lit(1)).withColumn("items", F.lit("x")), bench, block_bytes=0)
+    assert left.columns == ["doc_id", "text", "digest", "items"]
+    assert sorted(map(str, (x.doc_id for x in left.collect()))) == sorted(str(x[0]) for x in brute.overlaps(rows, items) if not x[5])
 
 
 @pytest.mark.parametrize("name", sorted(Q))
