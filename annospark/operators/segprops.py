@@ -1,25 +1,35 @@
 """Segment properties: table to columnar document and back.
 
-Column types, dictionaries and codes are DataFrame work; the document itself
-is one JSON value that the viewer loads whole, so the last step collects its
-ordered columns.
+Column types, dictionaries and codes are DataFrame work.  A :class:`Document`
+keeps the columns as a table: it is read, selected from and written to its file
+without the driver holding them; :func:`segment_properties` collects them into
+the one JSON value that the viewer loads whole.
 """
 
 from __future__ import annotations
 
 import json
+import posixpath
+import shutil
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
+from contextlib import ExitStack
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annospark.functions.bits import unsigned_text
-from annospark.sources.shards import put_file
+from annospark.sources.shards import file_system
 
 INFO_TYPE = "neuroglancer_segment_properties"  # fixed value of the format
 ROW = "__row"
+#: Entries of a tag dictionary that are broadcast to every task; a larger one is joined by shuffles.
+MOST_BROADCAST = 100_000
 
 
 def drop_empty(df: DataFrame, segment: str = "segment") -> DataFrame:
@@ -121,11 +131,23 @@ def tag_dictionary(df: DataFrame, tags: Sequence[str], prefix: str | None = "all
     return d.join(first, "tag").select(F.element_at(F.lit(list(tags)), F.col("pos") + 1).alias("col"), "pos", "value", "tag", "code")
 
 
+def with_codes(df: DataFrame, dictionary: DataFrame, tags: Sequence[str], distinct: bool = False) -> DataFrame:
+    """``df`` with ``codes``: ascending codes of each row's tags.  distinct: a tag that two columns give counts once.
+
+    A left join for each column, with the values as keys: rows are neither
+    multiplied nor grouped, and stay where they are if the dictionary is small.
+    """
+    own, plain = df.columns, df
+    for i, c in enumerate(tags):
+        d = dictionary.where(F.col("pos") == i).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
+        df = df.join(d, tag_value(plain, c) == F.col(f"__v{i}"), "left")
+    codes = F.array_sort(F.array_compact(F.array(*[F.col(f"__c{i}").cast("int") for i in range(len(tags))])))
+    return df.select(*[F.col(f"`{c}`") for c in own], (F.array_distinct(codes) if distinct else codes).alias("codes"))
+
+
 def tag_codes(df: DataFrame, dictionary: DataFrame, tags: Sequence[str], key: str = "segment", distinct: bool = False) -> DataFrame:
-    """``key, codes``: ascending codes of each row's tags.  distinct: a tag that two columns give counts once."""
-    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), tag_value(df, c).alias("value")) for i, c in enumerate(tags)])).alias("t")).select(key, "t.pos", "t.value").where(F.col("value").isNotNull())
-    codes = long.join(dictionary.select("pos", "value", "code"), ["pos", "value"]).groupBy(key).agg((F.collect_set if distinct else F.collect_list)("code").alias("c"))
-    return df.select(key).join(codes, key, "left").select(key, F.coalesce(F.array_sort("c"), F.array().cast("array<int>")).alias("codes"))
+    """``key, codes`` of each row; see :func:`with_codes`."""
+    return with_codes(df, dictionary, tags, distinct).select(key, "codes")
 
 
 def _describe(tags: Sequence[str], given: Mapping[str, str]) -> list[str]:
@@ -133,12 +155,71 @@ def _describe(tags: Sequence[str], given: Mapping[str, str]) -> list[str]:
     return [known.get(t) or known.get(t.partition(":")[2] if ":" in t else t) or t for t in tags]
 
 
-def segment_properties(
+@dataclass(frozen=True)
+class Document:
+    """A document with its columns in a table.
+
+    rows: ``row`` (sorts as the document does), ``segment``, ``id``, ``v0, v1, ...`` of the scalars and ``codes`` if there are tags.
+    properties: those of the document, in order, without their values.
+    """
+
+    rows: DataFrame
+    properties: list[dict]
+
+    def columns(self) -> list[str]:
+        """Columns of ``rows`` that hold the ids and the properties' values, in order."""
+        return ["id", *["codes" if p["type"] == "tags" else f"v{i}" for i, p in enumerate(self.properties)]]
+
+    def to_dict(self) -> dict:
+        """The JSON value, on the driver."""
+        rows = self.rows.orderBy("row").select(*self.columns()).collect()
+        values = [[r[k] if p["type"] != "tags" else list(r[k]) for r in rows] for k, p in enumerate(self.properties, 1)]
+        return {"@type": INFO_TYPE, "inline": {"ids": [r.id for r in rows], "properties": [_with_values(p, v) for p, v in zip(self.properties, values)]}}
+
+    def write(self, path: str) -> None:
+        """The document's file: the driver passes on pieces of text, a partition's at a time, and keeps each column in a local file until its turn."""
+        names = self.columns()
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_pydict({f"t{i}": [json.dumps(c.to_pylist())[1:-1]] for i, c in enumerate(b.columns)})
+
+        path = path if path.endswith(".json") else f"{path}/info"
+        fs, p = file_system(path)
+        own = f"{posixpath.dirname(p)}/.{posixpath.basename(p)}.{uuid.uuid4().hex}"
+        with ExitStack() as stack:
+            parts = [stack.enter_context(tempfile.TemporaryFile("w+", encoding="ascii")) for _ in names]
+            text = self.rows.orderBy("row").select(*names).mapInArrow(run, ", ".join(f"t{i} string" for i in range(len(names))))
+            for k, r in enumerate(text.toLocalIterator()):
+                for f, t in zip(parts, r):
+                    f.write(f", {t}" if k else t)
+            fs.create_dir(posixpath.dirname(p), recursive=True)
+            with fs.open_output_stream(own) as out:
+                for k, (f, prop) in enumerate(zip(parts, [None, *self.properties])):
+                    mark = json.dumps(uuid.uuid4().hex)
+                    head = f'{{"@type": {json.dumps(INFO_TYPE)}, "inline": {{"ids": [' if prop is None else ""
+                    before, after = ("", "]") if prop is None else json.dumps(_with_values(prop, json.loads(mark))).split(mark)
+                    out.write((head or (", " if k > 1 else ', "properties": [') + before + "[").encode())
+                    f.seek(0)
+                    shutil.copyfileobj(f.buffer, out, 1 << 20)
+                    out.write((after if prop is None else "]" + after).encode())
+                out.write(b"]}}" if self.properties else b', "properties": []}}')
+        fs.move(own, p)
+
+
+def _with_values(prop: Mapping, values) -> dict:
+    """The property with its values, before the descriptions."""
+    last = {k: v for k, v in prop.items() if k in ("description", "tag_descriptions")}
+    return {k: v for k, v in prop.items() if k not in last} | {"values": values} | last
+
+
+def segment_document(
     df: DataFrame, label: str | None = None, *, segment: str = "segment", description: str | None = None, strings: Sequence[str] = (), numbers: Sequence[str] = (), tags: Sequence[str] = (),
     tag_prefix_mode: str | None = "all", sort_tags: bool = False, tag_descriptions: Mapping[str, str] | None = None, col_descriptions: Mapping[str, str] | None = None, drop_empty_rows: bool = True,
-    order_col: str | None = None, tag_orders: Mapping[str, Sequence[str]] | None = None, distinct_codes: bool = False, output_path: str | None = None,
-) -> dict:
-    """The document of a table; rows in order of ``order_col`` (default: of the segment id)."""
+    order_col: str | None = None, tag_orders: Mapping[str, Sequence[str]] | None = None, distinct_codes: bool = False,
+) -> Document:
+    """The document of a table; rows in order of ``order_col`` (default: of the segment id).  The driver holds the distinct tags alone."""
     as_list = lambda x: [x] if isinstance(x, str) else list(x)
     strings, numbers, tags = as_list(strings), as_list(numbers), as_list(tags)
     for c in [c for g in (strings, numbers, tags) for c in g if c == segment]:
@@ -151,59 +232,68 @@ def segment_properties(
         df = drop_empty(df, segment)
     types = scalar_types(df, segment, label, description, strings, numbers, tags)
     stored = number_types(df, [c for c, t in types.items() if t == "number"])
-    cols = [unsigned_text(F.col(segment)).alias("id")] + [(F.col(c) if t == "number" else F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"v{i}") for i, (c, t) in enumerate(types.items())]
-    out, dictionary = df, None
-    if tags:
-        dictionary = tag_dictionary(df, tags, tag_prefix_mode, sort_tags, tag_orders)
-        out = df.join(tag_codes(df, dictionary, tags, segment, distinct_codes), segment)
-        cols.append(F.col("codes"))
-    rows = out.orderBy(ROW, segment).select(*cols).collect()
     props = []
-    for i, (c, t) in enumerate(types.items()):
-        p = {"id": c, "type": t} | ({"data_type": stored[c]} if t == "number" else {}) | {"values": [r[1 + i] for r in rows]}
+    for c, t in types.items():
+        p = {"id": c, "type": t} | ({"data_type": stored[c]} if t == "number" else {})
         props.append(p | ({"description": col_descriptions[c]} if (col_descriptions or {}).get(c) else {}))
+    cols = [F.struct(F.col(ROW), F.col(segment)).alias("row"), F.col(segment).alias("segment"), unsigned_text(F.col(segment)).alias("id")]
+    cols += [(F.col(c) if t == "number" else F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"v{i}") for i, (c, t) in enumerate(types.items())]
     if tags:
-        names = [r.tag for r in dictionary.select("tag", "code").distinct().orderBy("code").collect()]
-        p = {"id": "tags", "type": "tags", "tags": names, "values": [list(r.codes) for r in rows]}
-        props.append(p | ({"tag_descriptions": _describe(names, tag_descriptions)} if tag_descriptions else {}))
-    info = {"@type": INFO_TYPE, "inline": {"ids": [r.id for r in rows], "properties": props}}
+        entries = tag_dictionary(df, tags, tag_prefix_mode, sort_tags, tag_orders).select("pos", "value", "tag", "code").collect()
+        names = [t for _, t in sorted({(r.code, r.tag) for r in entries})]
+        dictionary = df.sparkSession.createDataFrame([(r.pos, r.value, r.code) for r in entries], "pos int, value string, code int")
+        df = with_codes(df.where(F.col(segment).isNotNull()), F.broadcast(dictionary) if len(entries) <= MOST_BROADCAST else dictionary, tags, distinct_codes)
+        cols.append(F.col("codes"))
+        props.append({"id": "tags", "type": "tags", "tags": names} | ({"tag_descriptions": _describe(names, tag_descriptions)} if tag_descriptions else {}))
+    return Document(df.select(*cols), props)
+
+
+def segment_properties(df: DataFrame, label: str | None = None, *, output_path: str | None = None, **given) -> dict:
+    """The document of a table as one JSON value, see :func:`segment_document`; ``output_path``: its file, or the folder of its ``info``."""
+    doc = segment_document(df, label, **given)
     if output_path:
-        put_file(output_path if output_path.endswith(".json") else f"{output_path}/info", json.dumps(info).encode())
-    return info
+        doc.write(output_path)
+    return doc.to_dict()
 
 
 _KINDS = {"int8": "tinyint", "int16": "smallint", "int32": "int", "uint8": "smallint", "uint16": "int", "uint32": "bigint", "float32": "float"}
 
 
-def segment_table(spark: SparkSession, info: Mapping, consolidate: bool = True, separate: bool = False):
+def segment_table(spark: SparkSession, info: Mapping | Document, consolidate: bool = True, separate: bool = False):
     """The table of a document: ``segment``, scalars, and a column a tag prefix (or a boolean a tag).
 
-    The document is one driver value; its columns become rows by one explode.
+    A dict is one driver value, whose columns become rows by one explode; a
+    :class:`Document` has them as rows.
     """
-    inline = info["inline"]
-    scalars = [p for p in inline["properties"] if p["type"] != "tags"]
-    tag_prop = next((p for p in inline["properties"] if p["type"] == "tags"), None)
-    text = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v)
-    data = [(i, int(s), [text(p["values"][i]) for p in scalars], list(tag_prop["values"][i]) if tag_prop else []) for i, s in enumerate(inline["ids"])]
-    df = spark.createDataFrame(data, "row long, segment long, v array<string>, codes array<int>")
     kind = lambda p: _KINDS.get(p.get("data_type", ""), "double" if p["type"] == "number" else "string")
-    names = [p["id"] for p in scalars]
-    scalar_df = df.select("row", "segment", *[F.col("v")[i].cast(kind(p)).alias(p["id"]) for i, p in enumerate(scalars)])
-    tags_df = tag_columns(df, tag_prop["tags"], consolidate) if tag_prop else df.select("row", "segment")
+    if isinstance(info, Document):
+        scalars = [p for p in info.properties if p["type"] != "tags"]
+        tag_prop = next((p for p in info.properties if p["type"] == "tags"), None)
+        df = info.rows
+        values = [F.col(f"v{i}") for i in range(len(scalars))]
+    else:
+        inline = info["inline"]
+        scalars = [p for p in inline["properties"] if p["type"] != "tags"]
+        tag_prop = next((p for p in inline["properties"] if p["type"] == "tags"), None)
+        text = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v)
+        data = [(i, int(s), [text(p["values"][i]) for p in scalars], list(tag_prop["values"][i]) if tag_prop else []) for i, s in enumerate(inline["ids"])]
+        df = spark.createDataFrame(data, "row long, segment long, v array<string>, codes array<int>")
+        values = [F.col("v")[i] for i in range(len(scalars))]
+    scalar_cols = {p["id"]: v.cast(kind(p)).alias(p["id"]) for p, v in zip(scalars, values)}
+    tag_cols = {n: c.alias(n) for n, c in tag_columns(tag_prop["tags"], consolidate).items()} if tag_prop else {}
+    full = df.select("row", "segment", *[c for n, c in scalar_cols.items() if n not in tag_cols], *tag_cols.values())
     if separate:
-        return scalar_df, tags_df
-    own = [n for n in names if n not in tags_df.columns]
-    return scalar_df.select("row", "segment", *own).join(tags_df.drop("segment"), "row").orderBy("row").drop("row")
+        return full, list(tag_cols)
+    return full.orderBy("row").drop("row")
 
 
-def tag_columns(df: DataFrame, tags: Sequence[str], consolidate: bool = True) -> DataFrame:
-    """``row, segment`` and a column for each tag prefix, holding the tag's rest (of several the last); or a boolean for each tag."""
+def tag_columns(tags: Sequence[str], consolidate: bool = True) -> dict[str, Column]:
+    """A column of ``codes`` for each tag prefix, holding the tag's rest (of several the last); or a boolean for each tag."""
     if not consolidate:
-        return df.select("row", "segment", *[F.array_contains("codes", i).alias(t) for i, t in enumerate(tags)])
-    prefix: dict[str, list[int]] = {}
-    for i, t in enumerate(tags):
-        prefix.setdefault(t.partition(":")[0], []).append(i)
+        return {t: F.array_contains("codes", i) for i, t in enumerate(tags)}
+    prefixes = list(dict.fromkeys(t.partition(":")[0] for t in tags))
+    place = {p: k for k, p in enumerate(prefixes)}
+    of = F.lit([place[t.partition(":")[0]] for t in tags])
     rest = F.lit([t.partition(":")[2] if ":" in t else t for t in tags])
-    last = lambda own: F.element_at(F.filter("codes", lambda c: F.array_contains(F.lit(own), c)), -1)
-    pick = lambda own: F.when(F.exists("codes", lambda c: F.array_contains(F.lit(own), c)), F.element_at(rest, last(own) + 1))
-    return df.select("row", "segment", *[pick(own).alias(p) for p, own in prefix.items()])
+    mine = lambda k: lambda c: F.element_at(of, c + 1) == k
+    return {p: F.when(F.exists("codes", mine(k)), F.element_at(rest, F.element_at(F.filter("codes", mine(k)), -1) + 1)) for p, k in place.items()}

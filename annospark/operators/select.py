@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annospark.operators.segprops import segment_properties, segment_table
+from annospark.operators.segprops import Document, segment_document, segment_table
 
 #: Distinct values up to which the default macros take a column.
 FEW = 1000
+CHOSEN = "__chosen"
 MACROS = ("_all", "_all_tags", "_default", "_default_tags")
 
 _ARITHMETIC = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Mod: lambda a, b: a % b}
@@ -150,16 +151,21 @@ def expand_macros(df: DataFrame, subset: Sequence[str], keep: Sequence[str] = ("
     return out
 
 
-def select_properties(spark: SparkSession, info: Mapping, subset: Sequence[str], scalar_expressions: Mapping[str, str] | None = None, tag_expressions: Mapping[str, str] | None = None) -> dict:
-    """A new document with the columns of ``subset`` (names and macros) and computed ones."""
-    scalars, tags = segment_table(spark, info, separate=True)
-    full = scalars.select("row", "segment", *[c for c in scalars.columns[2:] if c not in tags.columns]).join(tags.drop("segment"), "row")
+def select_properties(spark: SparkSession, info: Mapping | Document, subset: Sequence[str], scalar_expressions: Mapping[str, str] | None = None, tag_expressions: Mapping[str, str] | None = None) -> dict | Document:
+    """A new document with the columns of ``subset`` (names and macros) and computed ones; of the kind that ``info`` is.
+
+    Every step decides row by row: nothing is joined, and only a dict is collected.
+    """
+    full, tags = segment_table(spark, info, separate=True)
     expressions = {**(scalar_expressions or {}), **(tag_expressions or {})}
     subset = expand_macros(full, subset)
     if bad := set(subset) - set(full.columns):
         raise ValueError(f"invalid segment properties: {', '.join(sorted(bad))}")
-    new = with_expressions(full, expressions)
-    chosen = [c for c in subset if c in scalars.columns and c not in tags.columns] + [c for c in subset if c in tags.columns]
+    chosen = [c for c in subset if c not in tags] + [c for c in subset if c in tags]
     chosen = [c for c in chosen if c not in expressions]
-    both = new.join(full.select("row", *[f"`{c}`" for c in chosen]), "row").select("row", "segment", *[f"`{c}`" for c in [*expressions, *chosen]])
-    return segment_properties(both, tags=[*(tag_expressions or {}), *[c for c in chosen if c in tags.columns]], order_col="row")
+    if chosen:
+        full = full.withColumn(CHOSEN, F.struct(*[F.col(f"`{c}`") for c in chosen]))
+    new = with_expressions(full, expressions, ("row", "segment", *([CHOSEN] if chosen else [])))
+    both = new.select("row", "segment", *[F.col(f"`{c}`") for c in expressions], *[F.col(CHOSEN)[c].alias(c) for c in chosen])
+    doc = segment_document(both, tags=[*(tag_expressions or {}), *[c for c in chosen if c in tags]], order_col="row")
+    return doc if isinstance(info, Document) else doc.to_dict()

@@ -87,3 +87,30 @@ def test_select(spark, info):
     assert "heavy" in p["tags"]["tags"] and "zone:marsh" in p["tags"]["tags"]
     with pytest.raises(ValueError):
         select_properties(spark, info, ["nope"])
+
+
+def test_document_as_a_table(spark, plots, tmp_path, monkeypatch):
+    """A document that stays a table: its file, its dict and its table are those of the collected one, and a selection collects no rows."""
+    import json
+
+    from pyspark.sql import DataFrame
+
+    given = dict(tags=["zone", "soil", "irrigated"], sort_tags=True, order_col="pos", tag_descriptions={"marsh": "wet ground"}, col_descriptions={"plot": "t"})
+    doc, info = segprops.segment_document(plots, "plot", **given), segment_properties(plots, "plot", **given)
+    doc.write(str(tmp_path))
+    assert doc.to_dict() == info == json.loads((tmp_path / "info").read_text()) and list(json.loads((tmp_path / "info").read_text())["inline"]["properties"][0]) == list(info["inline"]["properties"][0])
+    assert segment_table(spark, doc).collect() == segment_table(spark, info).collect()
+    ask = (["_all_tags", "young"], {"label": "{plot}!"}, {"heavy": "young > 700"})
+    collected, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: collected.append(self.columns) or collect(self))
+    new = select_properties(spark, doc, *ask)
+    assert isinstance(new, segprops.Document) and all(c == ["pos", "value", "tag", "code"] for c in collected)
+    monkeypatch.undo()
+    assert new.to_dict() == select_properties(spark, info, *ask)
+
+
+def test_rows_with_one_id(spark):
+    """Repeated ids: each row has its own tags, and is there once."""
+    df = spark.createDataFrame([(1, "n", "a"), (1, "m", "b"), (2, "o", None)], "segment long, name string, p string")
+    info = segment_properties(df, "name", tags=["p"], order_col="name")["inline"]
+    assert info["ids"] == ["1", "1", "2"] and [p["values"] for p in info["properties"]] == [["m", "n", "o"], [[1], [0], []]]
