@@ -173,3 +173,47 @@ def test_shards_of_groups(spark):
     df = spark.createDataFrame([(g, signed(k)) for g in specs for k in keys], "grp long, key long")
     got = {(r.grp, unsigned(r.key)): (r.shard, r.minishard) for r in with_shards(df, F.col("grp"), F.col("key"), specs).collect()}
     assert got == {(g, k): s.place(k) for g, s in specs.items() for k in keys}
+
+
+def test_a_shard_is_packed_from_entries_that_are_not_kept():
+    """24-byte values take their bytes and 24 an entry, not objects of their own; reading holds a span."""
+    import tracemalloc
+
+    from annospark.sources import shards
+
+    n, spec = 100_000, ShardSpec(0, 0, 4, data_encoding="raw")
+    data = pack_shard(((k * 16 // n, k, k.to_bytes(24, "little")) for k in range(n)), spec)
+    tracemalloc.start()
+    assert pack_shard(((k * 16 // n, k, k.to_bytes(24, "little")) for k in range(n)), spec) == data
+    packing = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert packing < 160 * n
+    reads = []
+    span = lambda start, end: reads.append(end - start) or data[start:end]
+    old, shards.SPAN = shards.SPAN, 10_000
+    try:
+        assert [(k, int.from_bytes(v, "little")) for k, v in shards.shard_values(span, spec)] == [(k, k) for k in range(n)]
+    finally:
+        shards.SPAN = old
+    assert max(reads) <= 60_000 and sum(reads) == len(data)
+
+
+def test_large_groups_are_sorted_in_pieces(spark, tmp_path, monkeypatch):
+    """A group of most rows is cut over tasks and whole in its file, in order; small ones share batches."""
+    from annospark.operators import decode
+    from annospark.sources import shards
+
+    monkeypatch.setattr(shards, "PIECE_ROWS", 100)
+    df = spark.range(2000, numPartitions=3).selectExpr("id * 7919 % 2003 as annotation_id", "cast(id as double) as x", "0.5d as y", "case when id % 10 = 0 then id % 7 else 100 end as body")
+    want = {}
+    for r in df.collect():
+        want.setdefault(r.body, []).append(r.annotation_id)
+    info = export_annotations(df, "xy", "point", relationships=["body"], output_dir=str(tmp_path), write_by_id=False, write_by_spatial_chunk=False)
+    part = info["relationships"][0]
+    got = index(spark, info, str(tmp_path), part)
+    assert {k: unpack_group(v, 8)[1] for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    rows = shards.read_sharded_groups(spark, f"{tmp_path}/{part['key']}", spec_of(part["sharding"]), 8, 2).collect()
+    assert sorted((r.key, r.seq, r.id) for r in rows) == sorted((k, i, x) for k, v in want.items() for i, x in enumerate(sorted(v)))
+    monkeypatch.setattr(decode, "MOST_MEMBERS", 64)
+    batches = list(decode.group_batches((((k,), v) for k, v in sorted(got.items())), 8, 2, [("key", __import__("pyarrow").int64())]))
+    assert max(b.num_rows for b in batches) < 128 and [tuple(x) for b in batches for x in zip(*(b.column(i).to_pylist() for i in range(3)))] == sorted((r.key, r.seq, r.id) for r in rows)
