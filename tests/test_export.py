@@ -217,3 +217,15 @@ def test_large_groups_are_sorted_in_pieces(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(decode, "MOST_MEMBERS", 64)
     batches = list(decode.group_batches((((k,), v) for k, v in sorted(got.items())), 8, 2, [("key", __import__("pyarrow").int64())]))
     assert max(b.num_rows for b in batches) < 128 and [tuple(x) for b in batches for x in zip(*(b.column(i).to_pylist() for i in range(3)))] == sorted((r.key, r.seq, r.id) for r in rows)
+
+
+def test_many_files_make_few_tasks(spark, tmp_path):
+    """Files are read by a fixed number of tasks, however many there are, hidden ones are left out, and names may need quoting."""
+    from annospark.sources.shards import put_file, write_files
+
+    values = [(f"{tmp_path}/index/{k} %é", bytes([k % 256])) for k in range(1000)]
+    assert write_files(spark.createDataFrame(values, "name string, value binary")) == 1000
+    put_file(f"{tmp_path}/index/.hidden", b"x")
+    df = read_files(spark, f"{tmp_path}/index")
+    assert df.rdd.getNumPartitions() == 8
+    assert {(r.name, bytes(r.value)) for r in df.collect()} == {(n.rpartition("/")[2], v) for n, v in values}
