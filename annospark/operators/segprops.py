@@ -32,6 +32,17 @@ ROW = "__row"
 MOST_BROADCAST = 100_000
 
 
+def spread(df: DataFrame, segment: str = "segment") -> DataFrame:
+    """``df`` dealt by ids to some tasks a core, if it is read by fewer than two a core: a compact file of millions of rows is one or two tasks, and a document is several passes of row by row work.
+
+    Where the plan has shuffles already, these tell how many tasks there are.
+    """
+    jdf, cores = df._jdf, df.sparkSession.sparkContext.defaultParallelism
+    if jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec" or jdf.rdd().getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(4 * cores, segment)
+
+
 def drop_empty(df: DataFrame, segment: str = "segment") -> DataFrame:
     """Rows with a true boolean, or any other value that is not null and not ''."""
     keep = F.lit(False)
@@ -125,10 +136,11 @@ def tag_dictionary(df: DataFrame, tags: Sequence[str], prefix: str | None = "all
     for i, c in enumerate(tags):
         if orders and c in orders:
             rank = F.when(F.col("pos") == i, F.array_position(F.lit([str(x).replace(" ", "_") for x in orders[c]]), F.col("value"))).otherwise(rank)
-    first = d.withColumn("rank", rank.cast("long")).groupBy("tag").agg(F.min(F.struct("pos", "rank", "value")).alias("at"))
+    # the dictionary is small, so windows over it cost little; a grouped minimum would drop the distinct above and sort every row's tags
+    first = d.withColumn("at", F.min(F.struct("pos", rank.cast("long").alias("rank"), "value")).over(W.partitionBy("tag")))
     # one sort of the dictionary alone: it is one list in the document
-    first = first.select("tag", (F.row_number().over(W.orderBy(*(["tag"] if sort else ["at.pos", "at.rank", "at.value"]))) - 1).alias("code"))
-    return d.join(first, "tag").select(F.element_at(F.lit(list(tags)), F.col("pos") + 1).alias("col"), "pos", "value", "tag", "code")
+    code = F.dense_rank().over(W.orderBy(*(["tag"] if sort else ["at.pos", "at.rank", "at.value"]))) - 1
+    return first.select(F.element_at(F.lit(list(tags)), F.col("pos") + 1).alias("col"), "pos", "value", "tag", code.alias("code"))
 
 
 def with_codes(df: DataFrame, dictionary: DataFrame, tags: Sequence[str], distinct: bool = False) -> DataFrame:
@@ -227,7 +239,7 @@ def segment_document(
     if len(set(df.columns)) != len(df.columns) or any(len(set(g)) != len(g) for g in (strings, numbers, tags)):
         raise ValueError("columns are repeated")
     order = F.col(order_col or segment)
-    df = df.withColumn(ROW, order).drop(*([order_col] if order_col and order_col != segment and order_col not in {*strings, *numbers, *tags, label, description} else []))
+    df = spread(df, segment).withColumn(ROW, order).drop(*([order_col] if order_col and order_col != segment and order_col not in {*strings, *numbers, *tags, label, description} else []))
     if drop_empty_rows:
         df = drop_empty(df, segment)
     types = scalar_types(df, segment, label, description, strings, numbers, tags)

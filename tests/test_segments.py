@@ -114,3 +114,17 @@ def test_rows_with_one_id(spark):
     df = spark.createDataFrame([(1, "n", "a"), (1, "m", "b"), (2, "o", None)], "segment long, name string, p string")
     info = segment_properties(df, "name", tags=["p"], order_col="name")["inline"]
     assert info["ids"] == ["1", "1", "2"] and [p["values"] for p in info["properties"]] == [["m", "n", "o"], [[1], [0], []]]
+
+
+def test_documents_of_few_tasks(spark, tmp_path):
+    """A table that one task reads is dealt to more, and its tags are made distinct before anything sorts them, in one read."""
+    spark.range(500).selectExpr("id AS segment", "concat('n', id) AS name", "concat('z ', id % 3) AS zone", "id % 2 = 0 AS even").coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert df.rdd.getNumPartitions() == 1
+    doc = segprops.segment_document(df, "name", tags=["zone", "even"])
+    assert doc.rows.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    dictionary = segprops.tag_dictionary(df, ["zone", "even"])
+    plan = dictionary._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("HashAggregate") >= 2 and "SortAggregate" not in plan
+    assert [(r.tag, r.code) for r in dictionary.orderBy("code").collect()] == [("zone:z_0", 0), ("zone:z_1", 1), ("zone:z_2", 2), ("even", 3)]
+    assert [r.segment for r in segment_table(spark, doc).collect()] == list(range(500))
