@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from annospark.operators import levels
+from annospark.operators import bounds, levels
 from annospark.operators.bounds import summarize
 from annospark.operators.cells import assign_cells, collect_vertices, with_vertices
 from annospark.operators.levels import shuffled_key, with_level
@@ -137,3 +137,12 @@ def test_levels_of_tied_keys(spark, monkeypatch, most):
         at += n
     got = levels.with_level(df, sizes, F.col("k"))
     assert {r.annotation_id: r.level for r in got.collect()} == want
+
+
+def test_repeated_ids_are_dealt_before_they_are_counted(spark):
+    """No task holds all ids that it reads: both steps of the count come after the shuffle, whose tasks grow with the rows."""
+    df = spark.range(0, 1000, 1, 2).select((F.col("id") % 990).alias("annotation_id"))
+    found = bounds.repeated_ids(df, "annotation_id", 5 * bounds.MOST_COUNTED)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
+    assert found.rdd.getNumPartitions() == 5 and sorted(r[0] for r in found.collect()) == list(range(10))
