@@ -11,6 +11,7 @@ from annospark.functions.bits import signed, unsigned
 from annospark.functions.shardhash import ShardSpec
 from annospark.operators.encode import unpack_group
 from annospark.plans.export import export_annotations
+from annospark.plans.file_queries import export_spatial_shuffled
 from annospark.plans.model import CoordSpace, property_specs
 from annospark.sources.shards import get_file, pack_shard, read_files, read_sharded, unpack_shard
 from annospark.sources.tables import from_arrow, from_feather, from_pandas, from_parquet, read_annotations
@@ -229,3 +230,10 @@ def test_many_files_make_few_tasks(spark, tmp_path):
     df = read_files(spark, f"{tmp_path}/index")
     assert df.rdd.getNumPartitions() == 8
     assert {(r.name, bytes(r.value)) for r in df.collect()} == {(n.rpartition("/")[2], v) for n, v in values}
+
+
+def test_distinct_ids_of_levels_are_dealt_first(spark, data):
+    """export_spatial_shuffled: ids are dealt before they are made distinct, so no task holds those of a shard."""
+    plan = export_spatial_shuffled(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.count("HashAggregate") == 4  # dealt by (level, id), two steps for distinct ids, two for counts
+    assert plan.rindex("HashAggregate") < plan.rindex("Exchange")
